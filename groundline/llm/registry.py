@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from groundline.llm import exact_dedup, hilbert
+from groundline.llm import exact_dedup, hilbert, language_id, toxicity, winnowing
 
 
 def queries() -> dict:
     return {
+        "op1_winnowing": winnowing.op1_winnowing,
+        "op3_toxicity": toxicity.op3_toxicity,
+        "op4_language_id": language_id.op4_language_id,
         "op7_hilbert_sharding": hilbert.op7_hilbert_sharding,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
