@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from groundline.llm import exact_dedup, hilbert, language_id, toxicity, winnowing
+from groundline.llm import chunk_bpe, exact_dedup, hilbert, language_id, packing, token_counts, toxicity, winnowing
 
 
 def queries() -> dict:
@@ -10,8 +10,11 @@ def queries() -> dict:
         "op1_winnowing": winnowing.op1_winnowing,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_language_id": language_id.op4_language_id,
+        "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op7_hilbert_sharding": hilbert.op7_hilbert_sharding,
+        "op8_chunk_bpe": chunk_bpe.op8_chunk_bpe,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+        "op10_token_counts": token_counts.op10_token_counts,
     }
 
 

@@ -130,12 +130,12 @@ def fit(rows: list[tuple[int, int, list[int], list[int]]], toxic_share: float) -
     nb, ng = toxic.sum(), len(toxic) - toxic.sum()
     odds = {}
     for b, k in bad.items():
-        if k >= 2:
+        if k >= 3:
             g = good[b]
             z = np.log((k + 0.5) / (nb - k + 0.5)) - np.log((g + 0.5) / (ng - g + 0.5))
             odds[b] = z / np.sqrt(1 / (k + 0.5) + 1 / (g + 0.5))
     chosen = sorted(odds, key=lambda b: (-odds[b], b))[:FEATURES]
-    slots = {b: i for i, b in enumerate(b for b in chosen if odds[b] > 3.0)} or {b: i for i, b in enumerate(chosen[:8])}
+    slots = {b: i for i, b in enumerate(b for b in chosen if odds[b] > 2.5)} or {b: i for i, b in enumerate(chosen[:8])}
     x = np.zeros((len(rows), len(slots)))
     for i, (_, _, at, counts) in enumerate(rows):
         for b, c in zip(at, counts):
