@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from groundline.llm import chunk_bpe, exact_dedup, hilbert, language_id, packing, token_counts, toxicity, winnowing
+from groundline.llm import chunk_bpe, exact_dedup, hilbert, jaccard_join, language_id, packing, token_counts, toxicity, winnowing
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_winnowing": winnowing.op1_winnowing,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_language_id": language_id.op4_language_id,
+        "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op7_hilbert_sharding": hilbert.op7_hilbert_sharding,
         "op8_chunk_bpe": chunk_bpe.op8_chunk_bpe,
