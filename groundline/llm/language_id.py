@@ -34,7 +34,7 @@ from groundline.llm.samples import rows_of, smallest_hashes
 BUCKETS = 1 << 16
 DIM = 16
 ORDERS = (2, 3, 4)
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 2000
 EPOCHS = 6
 RATE = 2.0
 TARGET_PRECISION = 0.995
@@ -73,7 +73,7 @@ def gram_buckets(codes: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, buckets, counts): each text's distinct n-gram buckets, BUCKETS at most."""
+    """(doc_id, lang, buckets, counts): each text's distinct n-gram buckets, BUCKETS at most, as packed 16-bit and 32-bit numbers."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,13 +84,13 @@ def features(docs: DataFrame) -> DataFrame:
                     total += np.bincount(part, minlength=BUCKETS)
                 found = np.flatnonzero(total)
                 if len(found):
-                    ids.append(doc), langs.append(lang), at.append(found.astype(np.int32)), counts.append(total[found].astype(np.float32))
+                    ids.append(doc), langs.append(lang), at.append(found.astype(np.uint16).tobytes()), counts.append(total[found].astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))],
+                [pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(at, pa.binary()), pa.array(counts, pa.binary())],
                 ["doc_id", "lang", "buckets", "counts"],
             )
 
-    return map_arrow(docs.select("doc_id", "lang", "text"), kernel, "doc_id long, lang string, buckets array<int>, counts array<float>")
+    return map_arrow(docs.select("doc_id", "lang", "text"), kernel, "doc_id long, lang string, buckets binary, counts binary")
 
 
 class Model:
@@ -127,14 +127,17 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: list, seed: int = 7) -> Model:
-    """rows: (doc_id, lang, buckets, counts), in any order."""
+    """rows: those of features(), in any order."""
     rows = sorted(rows, key=lambda r: r[0])
     languages = sorted({r[1] for r in rows})
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     rng = np.random.default_rng(seed)
     of = {x: i for i, x in enumerate(languages)}
-    data = [(np.asarray(r[2]), np.asarray(r[3], np.float64) / np.sum(r[3]), of[r[1]]) for r in rows]
+    data = []
+    for _, lang, buckets, counts in rows:
+        share = np.frombuffer(counts, np.float32)
+        data.append((np.frombuffer(buckets, np.uint16), share / share.sum(), of[lang]))
     mixed = rng.permutation(len(data))
     checks, trains = ([data[i] for i in mixed[: len(data) // 5]], [data[i] for i in mixed[len(data) // 5 :]]) if len(data) >= 10 else (data, data)
     table = rng.normal(0, 0.1, (BUCKETS, DIM))
