@@ -69,3 +69,11 @@ def map_arrow(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterat
 
 def text_or_empty(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of queries that are over and no longer referred to."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

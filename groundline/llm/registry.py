@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from groundline.llm import chunk_bpe, exact_dedup, hilbert, jaccard_join, language_id, packing, token_counts, toxicity, winnowing
+from groundline.llm import chunk_bpe, exact_dedup, hilbert, jaccard_join, language_id, packing, suffix_dedup, token_counts, toxicity, winnowing
 
 
 def queries() -> dict:
     return {
         "op1_winnowing": winnowing.op1_winnowing,
+        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_language_id": language_id.op4_language_id,
         "op5_jaccard_join": jaccard_join.op5_jaccard_join,
