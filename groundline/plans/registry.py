@@ -2,10 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from groundline.operators import views
+from groundline.plans import views_sql
+from groundline.plans.overlay import Graph
+
+
+def _graph(f: Callable[[Graph], DataFrame], *columns: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(Graph(spark, sf_dir)).select(*columns) if columns else f(Graph(spark, sf_dir))
+
+
+VIEWS = {
+    "d01_fresh_change_run": _graph(views.fresh_change_run),
+    "d02_eligible_supersedes": _graph(views.eligible_supersedes),
+    "d03_grounded_obligation": _graph(views.grounded_obligation, "id", "agreement_id", "type", "cents", "status", "due_date", "offset_days"),
+    "d04_visible_timing": _graph(views.visible_obligation_timing),
+    "d05_visible_obligation": _graph(views.visible_obligation),
+    "d06_visible_supersedes": _graph(views.visible_supersedes),
+    "d07_visible_guarantees": _graph(views.visible_guarantees),
+    "d08_visible_triggers": _graph(views.visible_triggers),
+    "d09_party_binding": _graph(views.visible_party_binding),
+    "d10_visible_finding": _graph(views.visible_change_finding, "finding_id", "run_id", "kind", "category", "old_origin", "new_ref", "old_ref"),
+    "d11_obligation_clause": _graph(views.visible_obligation_clause),
+    "d12_event_binding": _graph(views.visible_event_binding),
+    "d12_site_binding": _graph(views.visible_site_binding),
+    "d13_finding_refs": _graph(views.visible_change_finding_ref),
+    "d14_citation_violations": _graph(views.citation_violations),
+    "d15_constraint_violations": _graph(views.constraint_violations),
+    "g07_ungrounded": _graph(views.ungrounded_visible),
+}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return VIEWS["d05_visible_obligation"](spark, sf_dir)
+
 
 def queries() -> dict:
-    return {}
+    return dict(VIEWS)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(views_sql.ORACLES)
