@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundline.operators import views
-from groundline.plans import views_sql
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from groundline.operators import read, views
+from groundline.plans import read_sql, views_sql
 from groundline.plans.overlay import Graph
 
 
@@ -36,13 +39,63 @@ VIEWS = {
 }
 
 
+AS_OF = "1997-01-01"
+_ID = ("id", "agreement_id", "effective_due", "lifecycle")
+
+
+def _place(rows: DataFrame) -> DataFrame:
+    """The place of each row in the order of the read API, for a filtered listing."""
+    order = Window.orderBy(F.col("effective_due").asc_nulls_last(), "agreement_id", "id")
+    return rows.select("id", F.row_number().over(order).cast("long").alias("place"))
+
+
+def _documents_to_resolve(g: Graph) -> DataFrame:
+    c = g.table("customer").select(
+        F.col("c_custkey").alias("doc"),
+        F.concat(F.lit("d"), F.col("c_custkey").cast("string")).alias("doc_key"),
+        F.concat_ws("/", F.lit("data"), "c_mktsegment", (F.col("c_custkey") % 500).cast("string")).alias("path"),
+        (F.col("c_custkey") % 700).cast("string").alias("name"),
+        F.sha2("c_name", 256).alias("digest"),
+    )
+    wanted = c.where("doc % 10 = 0").select(F.explode(F.array("doc_key", "path", "name", "digest", F.concat(F.lit("none"), F.col("doc").cast("string")))).alias("text")).distinct()
+    return read.resolve_document(c, wanted)
+
+
+def _aliases(g: Graph) -> DataFrame:
+    names = g.spark.createDataFrame([("License",), ("the and",), ("***",), ("Lizenz",)], "alias string")
+    return read.unresolved_documents(g.table("documents"), names)
+
+
+READ = {
+    "q01_list_agreements": _graph(read.list_agreements),
+    "q02_page": _graph(lambda g: read.page(read.obligations(g, type_="t3"), 50, 100), *_ID),
+    "q02_header": _graph(lambda g: read.page_header(read.obligations(g, type_="t3"), read.unresolved_parties(g, read.obligations(g, type_="t3")), 50, 100)),
+    "q03_party_role": _graph(lambda g: read.obligations(g, party="Landlord"), *_ID),
+    "q03_party_name": _graph(lambda g: read.obligations(g, party="00001"), *_ID),
+    "q03_site": _graph(lambda g: read.obligations(g, site="Asia"), *_ID),
+    "q04_order": _graph(lambda g: _place(read.obligations(g, type_="t5", status="redacted"))),
+    "q05_unresolved": _graph(lambda g: read.unresolved_parties(g, read.obligations(g))),
+    "q07_hydrated": _graph(lambda g: read.hydrated(g, read.obligations(g, type_="t2", include_superseded=True))),
+    "q13_due_window": _graph(lambda g: read.due_window(g, AS_OF), "id", "agreement_id", "lifecycle", "due"),
+    "q13_due_window_party": _graph(lambda g: read.due_window(g, AS_OF, party="provider"), "id", "agreement_id", "lifecycle", "due"),
+    "q14_pending_partition": _graph(read.pending_partition),
+    "q15_contingent_page": _graph(lambda g: read.pending_page(g, "contingent", 25, 10), *_ID),
+    "q16_window_unresolved": _graph(lambda g: read.window_unresolved(g, AS_OF)),
+    "q17_resolve_document": _graph(_documents_to_resolve),
+    "q18_run_status": _graph(read.run_status),
+    "q21_grouped_findings": _graph(read.grouped_findings),
+    "q22_new_obligations": _graph(read.new_obligations),
+    "q23_unresolved_documents": _graph(_aliases),
+}
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return VIEWS["d05_visible_obligation"](spark, sf_dir)
+    return READ["q13_due_window"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return dict(VIEWS)
+    return {**VIEWS, **READ}
 
 
 def oracle_sql() -> dict:
-    return dict(views_sql.ORACLES)
+    return {**views_sql.ORACLES, **read_sql.ORACLES}
