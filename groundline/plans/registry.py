@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from groundline.operators import read, views
-from groundline.plans import read_sql, views_sql
+from groundline.functions import text as T
+from groundline.operators import ingest, read, rules, views
+from groundline.plans import read_sql, text_sql, views_sql
 from groundline.plans.overlay import Graph
 
 
@@ -89,13 +90,101 @@ READ = {
 }
 
 
+def _lines(g: Graph) -> DataFrame:
+    return ingest.segments(g.table("documents"))
+
+
+def _marked(g: Graph) -> DataFrame:
+    return ingest.sections(ingest.with_headings(_lines(g)))
+
+
+def _term_quotes(g: Graph) -> DataFrame:
+    c = g.table("customer")
+    form = F.col("c_custkey") % 4
+    return c.select(
+        F.col("c_custkey").alias("id"),
+        F.when(form == 0, F.concat(F.lit("The “"), "c_name", F.lit("” means this.")))
+        .when(form == 1, F.concat(F.lit("A lease (the “Lease”) by “"), "c_name", F.lit("” and (“Tenant”) or (“Tenant”).")))
+        .when(form == 2, F.concat(F.lit("“"), "c_name", F.lit("” is quoted only.")))
+        .otherwise(F.lit("Nothing here."))
+        .alias("quote"),
+    )
+
+
+def _claims(g: Graph) -> DataFrame:
+    """Spans taken from documents' lines, claimed to start elsewhere; every 5th has a wrong letter."""
+    line = _lines(g).where("char_end - char_start > 12")
+    wrong = F.when(F.col("at") % 5 == 4, F.concat(F.lit("\u00a7"), F.substring("span", 2, 11))).otherwise(F.substring("span", 1, 12))
+    return line.select((F.col("doc_id") * 100000 + F.col("at")).alias("claim"), "doc_id", wrong.alias("span"), (F.col("char_start") + F.col("at") * 7 % 40).alias("claimed_start"))
+
+
+def _texts(g: Graph) -> DataFrame:
+    """Documents as their non-empty lines, so that offsets fit the segments."""
+    return g.table("documents").select("doc_id", F.array_join(F.filter(F.split("text", "\n"), lambda x: F.length(x) > 0), "\n").alias("text"))
+
+
+def _responses(g: Graph) -> DataFrame:
+    form = F.col("l_partkey") % 7
+    obj = F.struct(F.lit("obligation").alias("kind"), F.concat(F.lit("t"), F.col("l_partkey") % 9).alias("type"), F.col("l_quantity").alias("amount"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("due_date"), F.lit("s").alias("span"))
+    body = F.to_json(obj)
+    return g.line.select(
+        "id",
+        F.when(form == 0, "refusal").when(form == 1, "max_tokens").otherwise("end").alias("stop"),
+        F.when(form == 2, F.lit("no json")).when(form == 3, F.replace(body, F.lit('"span"'), F.lit('"extra":1,"span"'))).when(form == 4, F.replace(body, F.lit("obligation"), F.lit("other"))).otherwise(body).alias("body"),
+    )
+
+
+def _proposals(g: Graph) -> DataFrame:
+    return g.line.select(
+        "id",
+        F.when(F.col("l_partkey") % 10 == 0, "clause").when(F.col("l_partkey") % 10 == 1, "event").otherwise("obligation").alias("kind"),
+        F.when(F.col("l_suppkey") % 8 != 0, F.concat(F.lit("t"), F.col("l_suppkey") % 11)).alias("type"),
+        F.when(F.col("l_linenumber") % 5 != 0, F.col("l_linenumber")).alias("segment"),
+    )
+
+
+def _anchors(g: Graph) -> DataFrame:
+    return g.line.where("l_suppkey % 3 = 0").select(F.col("l_orderkey").alias("agreement_id"), F.to_date(F.date_trunc("year", "l_shipdate")).alias("date"))
+
+
+def _offsets(g: Graph) -> DataFrame:
+    found = g.table("documents").select("doc_id", F.posexplode(T.occurrences(F.col("text"), "License|[*#%]{3}|the [a-z]+")).alias("n", "o"))
+    return found.select("doc_id", F.col("n").cast("long").alias("n"), F.col("o.start").alias("char_start"), F.col("o.match").alias("match"))
+
+
+TEXT = {
+    "f01_offsets": _graph(_offsets),
+    "g05_g06_markers": _graph(lambda g: rules.quotes(g).select("id", T.is_redacted(F.col("quote")).alias("redacted"), T.is_blank(F.col("quote")).alias("blank"))),
+    "g05_redacted_documents": _graph(lambda g: g.table("documents").where(T.is_redacted(F.col("text"))).select("doc_id")),
+    "g03_grounded": _graph(lambda g: rules.grounded(_claims(g), _texts(g))),
+    "g03_passages": _graph(lambda g: rules.passages(g.table("benchmark"), g.table("documents"))),
+    "i01_html_lines": _graph(lambda g: ingest.html_lines(g.table("pages"))),
+    "i02_folded": _graph(lambda g: g.table("documents").select("doc_id", T.line_folded(F.col("text")).alias("folded"))),
+    "i05_segments": _graph(_lines, "doc_id", "at", "char_start", "char_end"),
+    "i06_pages": _graph(lambda g: ingest.pages(_lines(g))),
+    "i07_sections": _graph(lambda g: _marked(g).where("kind IS NOT NULL"), "doc_id", "at", "kind", "number", "heading"),
+    "i09_carried": _graph(lambda g: ingest.carried(_marked(g))),
+    "i10_contents_runs": _graph(lambda g: ingest.contents_runs(_marked(g))),
+    "i11_section_intervals": _graph(lambda g: ingest.section_intervals(_marked(g))),
+    "i14_structure_faults": _graph(lambda g: ingest.structure_faults(ingest.pages(_lines(g)))),
+    "i15_defined_terms": _graph(lambda g: ingest.defined_terms(_term_quotes(g))),
+    "i16_chunks": _graph(lambda g: ingest.chunks(ingest.section_intervals(_marked(g)))),
+    "e01_responses": _graph(lambda g: rules.parsed_responses(_responses(g))),
+    "v01_drops": _graph(lambda g: rules.drops_by_reason(_proposals(g))),
+    "v04_money": _graph(lambda g: rules.quotes(g).select("id", F.get(T.money(F.col("quote")), F.lit(0)).alias("cents"), F.size(T.money(F.col("quote"))).cast("long").alias("n"))),
+    "v05_verified_fields": _graph(lambda g: rules.verified_fields(rules.quotes(g))),
+    "t02_parsed_timing": _graph(lambda g: rules.parsed_timing(rules.quotes(g)), "id", "construction", "relation", "offset", "trigger_kind", "reason", "bound_name"),
+    "t10_resolved_timing": _graph(lambda g: rules.resolved_timing(rules.parsed_timing(rules.quotes(g)), _anchors(g))),
+}
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return READ["q13_due_window"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {**VIEWS, **READ}
+    return {**VIEWS, **READ, **TEXT}
 
 
 def oracle_sql() -> dict:
-    return {**views_sql.ORACLES, **read_sql.ORACLES}
+    return {**views_sql.ORACLES, **read_sql.ORACLES, **text_sql.ORACLES}
