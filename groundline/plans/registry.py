@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from groundline.functions import text as T
-from groundline.operators import ingest, read, rules, views
-from groundline.plans import read_sql, text_sql, views_sql
+from groundline.operators import change, ingest, metrics, read, rules, snapshot, views
+from groundline.plans import change_sql, read_sql, text_sql, views_sql
 from groundline.plans.overlay import Graph
 
 
@@ -178,13 +178,159 @@ TEXT = {
 }
 
 
+def _pairs(g: Graph) -> DataFrame:
+    """Quotes of consecutive obligations of an agreement."""
+    q = rules.quotes(g)
+    new = q.select((F.col("id") - 1).alias("id"), F.col("quote").alias("new_quote"), F.col("cents").alias("new_cents"))
+    return q.select("id", F.col("quote").alias("old_quote"), F.col("cents").alias("old_cents")).join(new, "id").withColumn("claimed", F.when(F.col("id") % 3 == 0, F.col("old_cents")).otherwise(F.col("new_cents")))
+
+
+def _section_quotes(g: Graph) -> DataFrame:
+    rows = g.obligation.where("base_agreement_id IS NOT NULL AND id % 4 = 0")
+    a, b = (F.col("id") % 7).cast("string"), (F.col("supplier") % 7).cast("string")
+    return rows.select("id", F.col("base_agreement_id").alias("base_id"), F.concat(F.lit("As in Sections "), a, F.lit(" and "), b, F.lit(" of the Original Lease, and Section 9 of it.")).alias("quote"))
+
+
+def _signed(g: Graph) -> DataFrame:
+    line = _lines(g)
+    head = F.when(F.col("at") % 20 == 6, "IN WITNESS WHEREOF, they sign").when(F.col("at") % 20 == 11, "Exhibit A")
+    return change.signature_lines(line.withColumn("span", F.coalesce(head, "span")))
+
+
+def _reference(g: Graph) -> DataFrame:
+    return change.gate_decisions(g).select("run_id", "category", ((F.col("run_id") + F.col("category")) % 4 == 0).alias("positive"))
+
+
+def _runs(g: Graph) -> DataFrame:
+    return g.line.select(F.col("l_partkey").alias("agreement_id"), F.col("id").alias("run"), F.concat(F.lit("v"), F.col("l_linenumber").cast("string")).alias("prompt"))
+
+
+def _attempts(g: Graph) -> DataFrame:
+    model = F.concat(F.lit("m"), (F.col("l_suppkey") % 40).cast("string"))
+    return g.line.select(F.col("l_orderkey").alias("run"), model.alias("model"), F.col("l_quantity").cast("long").alias("tokens"))
+
+
+def _tariff(g: Graph) -> DataFrame:
+    return g.spark.range(39).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("model"), (F.col("id") + 1).alias("price"))
+
+
+def _field_pairs(g: Graph) -> DataFrame:
+    x = g.line
+    return x.select(
+        F.col("l_returnflag").alias("gold_flag"), F.when(F.col("l_partkey") % 3 != 0, F.lower("l_returnflag")).when(F.col("l_partkey") % 6 == 0, "x").alias("pred_flag"),
+        F.when(F.col("l_suppkey") % 2 == 0, F.col("l_linenumber")).alias("gold_line"), F.when(F.col("l_suppkey") % 5 != 0, F.col("l_linenumber") % 4).alias("pred_line"),
+    )
+
+
+def _bounds(g: Graph) -> DataFrame:
+    rows = g.line.groupBy(F.col("l_suppkey").alias("supplier")).agg(F.count_if((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 7)).alias("misses"), F.count(F.lit(1)).alias("n"))
+    return rows.select("supplier", "misses", "n", F.round(metrics.miss_bound(F.col("misses"), F.col("n")), 6).alias("bound"))
+
+
+def _mentions(g: Graph) -> DataFrame:
+    names = g.party.where("party_id % 2 = 1")
+    rows = g.obligation.join(names, F.col("owed_to") == F.col("party_id"))
+    return rows.select("id", "agreement_id", F.when(F.col("id") % 2 == 0, F.when(F.col("id") % 4 == 0, "landlord").otherwise("tenant")).alias("role"), "name")
+
+
+def _anchor_requests(g: Graph) -> tuple[DataFrame, DataFrame]:
+    wanted = g.obligation.where("k IN (1, 2)").select("id", "agreement_id", "base_agreement_id", F.concat(F.lit("e"), (F.col("id") % 3).cast("string")).alias("key"))
+    events = g.line.where("l_linenumber <= 3").select(F.col("l_orderkey").alias("agreement_id"), F.concat(F.lit("e"), (F.col("l_suppkey") % 3).cast("string")).alias("key"), F.col("id").alias("event_id"))
+    return wanted, events
+
+
+def _proposed_events(g: Graph, flag: str) -> DataFrame:
+    name = F.concat(F.lit(" Event "), F.upper(F.element_at(F.array(F.lit("a"), F.lit("b")), (F.col("l_suppkey") % 2 + 1).cast("int"))))
+    return g.line.where(F.col("l_returnflag") == flag).select(F.col("l_orderkey").alias("agreement_id"), name.alias("name"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("date"))
+
+
+def _merged(g: Graph) -> DataFrame:
+    return snapshot.merged_events(_proposed_events(g, "R"), _proposed_events(g, "A")).select("agreement_id", "key", "date")
+
+
+def _replaced(g: Graph) -> DataFrame:
+    stored = g.line.select("id", F.col("l_orderkey").alias("agreement_id"), F.lit("old").alias("version"))
+    new = stored.where("agreement_id % 10 = 0 AND id % 2 = 0").withColumn("version", F.lit("new"))
+    return snapshot.replaced(stored, new, "agreement_id").groupBy("version").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+
+
+def _pins(g: Graph) -> DataFrame:
+    rows = g.table("documents").select(F.col("doc_id").alias("doc"), F.sha2("text", 256).alias("digest"))
+    pins = rows.where("doc % 9 <> 0").select("doc", F.when(F.col("doc") % 7 == 0, F.lit("0")).otherwise(F.col("digest")).alias("pin"))
+    return snapshot.precondition_faults(rows, pins)
+
+
+def _replayed(g: Graph) -> DataFrame:
+    rows = g.table("documents").select(F.col("doc_id").alias("id"), snapshot.fingerprint(F.lit("v1"), F.col("lang"), F.col("text")).alias("fingerprint"))
+    recorded = rows.where("id % 6 <> 0").groupBy("fingerprint").agg(F.max("id").alias("answer"))
+    return snapshot.replay(rows, recorded)
+
+
+def _logged(g: Graph) -> DataFrame:
+    runs = change.current_extraction(_runs(g))
+    log = _runs(g).where("run % 5 <> 0")
+    return snapshot.log_mismatches(runs, log)
+
+
+def _gold(g: Graph) -> DataFrame:
+    line = g.line
+    rows = line.select(
+        "id", (F.col("l_partkey") % 50).alias("span_start"), (F.col("l_suppkey") % 50).alias("span_end"), F.when(F.col("l_linenumber") == 3, "gone").otherwise("active").alias("status"),
+        F.when(F.col("l_partkey") % 4 == 0, F.date_format("l_shipdate", "yyyy-M-dd")).alias("due_date"), F.when(F.col("l_suppkey") % 3 == 0, "a").alias("anchor"), F.when(F.col("l_suppkey") % 6 == 0, 1).alias("offset_days"),
+    )
+    return snapshot.validation_errors(rows)
+
+
+def _budget(g: Graph) -> DataFrame:
+    rows = g.line.select(F.col("l_suppkey").alias("account"), F.col("id").alias("at"), F.col("l_quantity").cast("long").alias("amount"))
+    return metrics.admitted(rows, 3000)
+
+
+CHANGE = {
+    "c01_chain": _graph(lambda g: g.chain, "run_id", "agreement_id", "position", "role"),
+    "c02_current_extraction": _graph(lambda g: change.current_extraction(_runs(g))),
+    "c03_base_first": _graph(lambda g: change.base_first(g.agreement)),
+    "c04_section_types": _graph(lambda g: change.section_types(g, views.grounded_obligation(g))),
+    "c07_shifted_dates": _graph(lambda g: change.shifted_dates(_pairs(g))),
+    "c08_role_word": _graph(lambda g: rules.quotes(g).where("dated").select("id", change.role_word(F.col("quote"), F.get(T.dates(F.col("quote")), F.lit(0))["start"]).alias("role"))),
+    "c09_price_changes": _graph(lambda g: change.price_changes(_pairs(g))),
+    "c12_first_of_key": _graph(lambda g: change.first_of_key(g.finding)),
+    "c14_supersession_edges": _graph(views.supersession_edges),
+    "c16_costs": _graph(lambda g: metrics.costs(_attempts(g), _tariff(g))),
+    "ga01_lexicon_hits": _graph(lambda g: change.lexicon_hits(rules.quotes(g)), "id", "category", "word"),
+    "ga02_section_references": _graph(lambda g: change.section_references(_section_quotes(g), change.section_types(g, views.grounded_obligation(g)))),
+    "ga03_signature_lines": _graph(_signed),
+    "ga06_cascade": _graph(lambda g: change.cascade(change.gate_decisions(g))),
+    "q19_gate_summary": _graph(lambda g: read.gate_summary(change.cascade(change.gate_decisions(g)))),
+    "m02_candidate_edges": _graph(metrics.candidate_edges),
+    "m03_matching": _graph(lambda g: metrics.matched(metrics.candidate_edges(g))),
+    "m05_label_scores": _graph(metrics.label_scores),
+    "m05_macro_scores": _graph(metrics.macro_scores),
+    "m06_field_accuracy": _graph(lambda g: metrics.field_accuracy(_field_pairs(g), ["flag", "line"])),
+    "m10_multiset_matches": _graph(lambda g: metrics.multiset_matches(g.line.where("l_linestatus = 'O'").select("id", "l_suppkey", "l_returnflag"), g.line.where("l_linestatus = 'F'").select("id", "l_suppkey", "l_returnflag"), ["l_suppkey", "l_returnflag"])),
+    "m13_gate_metrics": _graph(lambda g: metrics.gate_metrics(change.cascade(change.gate_decisions(g)), _reference(g))),
+    "m14_miss_bound": _graph(_bounds),
+    "m19_spread": _graph(lambda g: metrics.spread(g.line, "l_returnflag", "l_quantity")),
+    "b02_admitted": _graph(_budget),
+    "w05_party_dictionary": _graph(lambda g: snapshot.party_dictionary(g.party).agg(F.count(F.lit(1)).alias("names"), F.count_distinct("party_id").alias("ids"))),
+    "w01_replaced": _graph(_replaced),
+    "w06_merged_events": _graph(_merged),
+    "w08_resolved_parties": _graph(lambda g: snapshot.resolved_parties(_mentions(g), views.visible_party_binding(g))),
+    "w09_resolved_anchors": _graph(lambda g: snapshot.resolved_anchors(*_anchor_requests(g))),
+    "s06_pins": _graph(_pins),
+    "s11_replay": _graph(_replayed),
+    "s15_validation_errors": _graph(_gold),
+    "s16_log_mismatches": _graph(_logged),
+}
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return READ["q13_due_window"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {**VIEWS, **READ, **TEXT}
+    return {**VIEWS, **READ, **TEXT, **CHANGE}
 
 
 def oracle_sql() -> dict:
-    return {**views_sql.ORACLES, **read_sql.ORACLES, **text_sql.ORACLES}
+    return {**views_sql.ORACLES, **read_sql.ORACLES, **text_sql.ORACLES, **change_sql.ORACLES}

@@ -36,10 +36,6 @@ SELECT id, l_orderkey AS agreement_id,
        CASE WHEN event = 0 AND NOT (form = 0 OR form = 1 AND unit = 1) THEN 'Commencement Date' END AS bound_name
 FROM q""",
     "anchor": "SELECT l_orderkey AS agreement_id, count(DISTINCT date_trunc('year', l_shipdate)) AS n, min(CAST(date_trunc('year', l_shipdate) AS DATE)) AS date FROM lineitem WHERE l_suppkey % 3 = 0 GROUP BY 1",
-    "whole": "SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: length(x) > 0), chr(10)) AS text FROM documents",
-    "claim_": """
-SELECT doc_id * 100000 + at AS claim, doc_id, CASE WHEN at % 5 = 4 THEN '§' || substr(span, 2, 11) ELSE substr(span, 1, 12) END AS span, char_start + at * 7 % 40 AS claimed_start
-FROM seg WHERE length(span) > 12""",
 }
 
 
@@ -55,12 +51,6 @@ ORACLES = {
     ),
     "g05_g06_markers": sql("SELECT id, marked = 0 AS redacted, marked = 1 AS blank FROM q"),
     "g05_redacted_documents": "SELECT doc_id FROM documents WHERE contains(text, '***') OR regexp_matches(lower(text), '\\[redacted\\]|\\[\\* \\* \\*\\]|\\[confidential treatment requested\\]')",
-    "g03_grounded": sql(
-        "SELECT c.claim, c.doc_id, CAST(b.at AS BIGINT) AS char_start, CAST(b.at + length(c.span) AS BIGINT) AS char_end, CASE WHEN b.at IS NULL THEN 'not_found' END AS failure "
-        "FROM claim_ c LEFT JOIN (SELECT claim, arg_min(at, abs(at - claimed_start) * 1000000 + at) AS at FROM ("
-        "SELECT c.claim, c.claimed_start, unnest(list_filter(range(CAST(length(w.text) AS BIGINT)), lambda i: substr(w.text, i + 1, length(c.span)) = c.span)) AS at FROM claim_ c JOIN whole w USING (doc_id) "
-        "WHERE c.at_ OR contains(w.text, c.span)) GROUP BY claim) b ON b.claim = c.claim"
-    ).replace("c.at_ OR ", ""),
     "g03_passages": "SELECT b.item_id, d.doc_id, CAST(strpos(d.text, b.text) - 1 AS BIGINT) AS char_start FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
     "i02_folded": "SELECT doc_id, trim(regexp_replace(text, '[ \\t\\r\\n\\f\\v]+', ' ', 'g')) AS folded FROM documents",
     "i05_segments": sql("SELECT doc_id, at, char_start, char_start + length(span) AS char_end FROM seg"),
