@@ -52,6 +52,13 @@ LEX = {
 }
 
 ORACLES = {
+    "c11_targets": (
+        "SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 1 THEN 'Exhibit' ELSE 'Section' END AS kind, CASE c_custkey % 4 WHEN 0 THEN (c_custkey % 9) || '.1' WHEN 1 THEN 'B' ELSE '3' END AS part, "
+        "CAST(NULL AS VARCHAR) AS parent, CASE WHEN c_custkey % 4 < 2 THEN 'base' END AS doc, CASE c_custkey % 4 WHEN 0 THEN 'section' WHEN 1 THEN 'range' ELSE 'not_in_corpus' END AS resolution FROM customer WHERE c_custkey % 4 < 3"
+    ),
+    "v10_mentioned": "SELECT c_custkey AS id, c_custkey % 2 = 1 OR c_custkey % 4 = 0 AS found FROM customer",
+    "v13_declared_dates": "SELECT c_custkey AS id, CASE WHEN c_custkey % 4 <> 2 THEN DATE '2010-01-01' + CAST(c_custkey % 3000 AS INT) END AS date FROM customer",
+    "v15_bound_roles": "SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'landlord' WHEN 1 THEN 'tenant' WHEN 3 THEN 'guarantor' ELSE '' END AS roles FROM customer",
     "c01_chain": sql("SELECT run_id, agreement_id, position, role FROM chain"),
     "c02_current_extraction": sql("SELECT agreement_id, max(run) AS run, arg_max(prompt, run) AS prompt FROM extr GROUP BY agreement_id"),
     "c03_base_first": sql("SELECT agreement_id, CAST(CASE WHEN base_agreement_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS depth FROM agreement"),

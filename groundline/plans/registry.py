@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from groundline.functions import text as T
-from groundline.operators import change, ingest, metrics, read, rules, snapshot, views
+from groundline.operators import binding, change, ingest, metrics, read, rules, snapshot, views
 from groundline.plans import change_sql, read_sql, text_sql, views_sql
 from groundline.plans.overlay import Graph
 
@@ -286,7 +286,36 @@ def _budget(g: Graph) -> DataFrame:
     return metrics.admitted(rows, 3000)
 
 
+def _statements(g: Graph) -> DataFrame:
+    """One statement about each customer in one of four forms, and one about a date."""
+    form, name = F.col("c_custkey") % 4, F.col("c_name")
+    date = F.date_format(F.date_add(F.to_date(F.lit("2010-01-01")), (F.col("c_custkey") % 3000).cast("int")), "MMMM d, yyyy")
+    quote = (
+        F.when(form == 0, F.concat(F.lit("between Landlord "), name, F.lit(" and others")))
+        .when(form == 1, F.concat(F.lit("made by "), name, F.lit(" (the “Tenant”)")))
+        .when(form == 2, F.concat(name, F.lit(" is not as Tenant")))
+        .otherwise(F.concat(F.lit("signed by "), name, F.lit(", a Utah corporation, as Guarantor")))
+    )
+    dated = F.when(form == 2, F.concat(F.lit("It is not said that "), name, F.lit(" means "), date, F.lit("."))).otherwise(F.concat(F.lit("So. The “"), name, F.lit("” shall mean "), date, F.lit(".")))
+    target = (
+        F.when(form == 0, F.concat(F.lit("in Section "), (F.col("c_custkey") % 9).cast("string"), F.lit(".1 of the Original Lease")))
+        .when(form == 1, F.lit("Exhibit “B” to the Lease"))
+        .when(form == 2, F.lit("Section 3 of the OS Rider"))
+        .otherwise(F.lit("nowhere"))
+    )
+    return g.table("customer").select(F.col("c_custkey").alias("id"), name.alias("name"), quote.alias("quote"), dated.alias("dated"), target.alias("target"), form.alias("form"))
+
+
+def _targets(g: Graph) -> DataFrame:
+    aliases = g.spark.createDataFrame([("Original Lease", "base"), ("Lease", "base"), ("OS Rider", None)], "alias string, doc string")
+    return binding.targets(_statements(g).select("id", F.col("target").alias("quote")), aliases)
+
+
 CHANGE = {
+    "c11_targets": _graph(_targets),
+    "v10_mentioned": _graph(lambda g: _statements(g).select("id", binding.mentioned(F.col("quote"), F.when(F.col("id") % 2 == 0, F.lit("landlord")).otherwise(F.upper("name"))).alias("found"))),
+    "v13_declared_dates": _graph(lambda g: _statements(g).select("id", binding.declared_date(F.col("dated"), F.col("name")).alias("date"))),
+    "v15_bound_roles": _graph(lambda g: _statements(g).select("id", F.array_join(binding.bound_roles(F.col("quote"), F.col("name"), F.lit(None).cast("string")), ",").alias("roles"))),
     "c01_chain": _graph(lambda g: g.chain, "run_id", "agreement_id", "position", "role"),
     "c02_current_extraction": _graph(lambda g: change.current_extraction(_runs(g))),
     "c03_base_first": _graph(lambda g: change.base_first(g.agreement)),
