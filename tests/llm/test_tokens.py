@@ -6,6 +6,7 @@ import pytest
 from groundline.llm import chunk_bpe, vocab
 
 ODD = [
+    "J̌ The. A,b. C.. d.\nE, f", "<|ENDOFTEXT|> <|EndOfText|>", "Ǆ ŒUVRE ÀÉ. Été, x", "A. B. C, D., e. f",
     "", " ", "\n", "a", "Hello  world", "it's  don't\n\nx", "tab\tand nbsp   x", "é ä ́x", "İstanbul ΣΑΣ ß", "日本語 テキスト 中文",
     "<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext|>c ", " <|startoftext|>x", "😀😀 👩‍👩‍👧", "a" * 5000, "ab " * 3000, "! !! !x \x1c\x1d x\x85y", "  　 z",
     "%%% *** $$$ 123 4567 12a", "x" * 3000 + " " + "y" * 3000, "١٢٣ ४५", "́ͅ x", "　全角　スペース",
