@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,16 +162,42 @@ def grounded(claims: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def passages(benchmark: DataFrame, docs: DataFrame, words: int = 4) -> DataFrame:
-    """Which documents hold a passage verbatim, and where first. Passages meet documents by their first words, then the text decides."""
-    head = F.slice(F.split("text", " "), 1, words)
-    keyed = benchmark.withColumn("_key", F.array_join(head, " ")).select("item_id", F.col("text").alias("passage"), "_key")
-    tokens = docs.select("doc_id", "text", F.split(F.regexp_replace("text", "\n", " "), " ").alias("_w"))
-    grams = tokens.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - words + 1)), lambda i: F.array_join(F.slice("_w", i, words), " ")))).alias("_g"))
-    # a passage may start within a word, so its key is also tried without its first word
-    inner = keyed.withColumn("_key", F.array_join(F.slice(F.split("passage", " "), 2, words), " "))
-    pairs = grams.join(F.broadcast(inner.select("item_id", "_key")), F.col("_g") == F.col("_key")).select("doc_id", "item_id").distinct()
-    full = pairs.join(docs.select("doc_id", "text"), "doc_id").join(keyed.select("item_id", "passage"), "item_id")
-    return full.withColumn("char_start", F.expr("instr(text, passage) - 1").cast("long")).where("char_start >= 0").select("item_id", "doc_id", "char_start")
+    """Which documents hold a passage verbatim, and where first. Passages meet documents by whole words, then the text decides.
+
+    A passage may start and end within a word, so its key is what follows its
+    first word, `words` words at most and never its last one. A passage of one
+    or two words has no such key and is looked for in every document.
+    """
+
+    def split(text: str) -> Column:
+        return F.split(F.regexp_replace(text, "\n", " "), " ")
+
+    def gram(tokens: str, at, size) -> Column:
+        return F.array_join(F.slice(tokens, at, size), " ")
+
+    def grams_of(size: int):
+        return lambda i: gram("_w", i, F.lit(size))
+
+    split_up = benchmark.where("text IS NOT NULL").select("item_id", F.col("text").alias("passage"), split("text").alias("_w"))
+    sized = split_up.withColumn("_size", F.least(F.lit(words), F.greatest(F.lit(0), F.size("_w") - 2)))
+    keyed = sized.select("item_id", "passage", "_size", gram("_w", F.lit(2), F.col("_size")).alias("_key"))
+    # a bounded fact, words + 1 values at most: documents get grams only of sizes that a passage has
+    sizes = sorted(r["_size"] for r in keyed.select("_size").distinct().collect())
+    tokens = docs.select("doc_id", split("text").alias("_w"))
+    place = F.expr("instr(text, passage) - 1").cast("long")
+    found = []
+    for size in filter(None, sizes):
+        starts = F.sequence(F.lit(1), F.size("_w") - size + 1)
+        grams = tokens.where(F.size("_w") >= size).select("doc_id", F.explode(F.array_distinct(F.transform(starts, grams_of(size)))).alias("_g"))
+        keys = keyed.where(F.col("_size") == size).select("item_id", "_key")
+        found.append(grams.join(F.broadcast(keys), F.col("_g") == F.col("_key")).select("doc_id", "item_id"))
+    rows = docs.select("doc_id", "text")
+    out = [keyed.where("_size = 0").select("item_id", "passage").join(rows, F.expr("contains(text, passage)")).select("item_id", "doc_id", place.alias("char_start"))] if 0 in sizes else []
+    if found or not out:
+        pairs = reduce(DataFrame.unionByName, found) if found else rows.join(keyed.select("item_id"), F.lit(False)).select("doc_id", "item_id")
+        full = pairs.distinct().join(rows, "doc_id").join(keyed.select("item_id", "passage"), "item_id")
+        out.append(full.withColumn("char_start", place).where("char_start >= 0").select("item_id", "doc_id", "char_start"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def drops_by_reason(items: DataFrame) -> DataFrame:
