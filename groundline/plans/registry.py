@@ -112,15 +112,21 @@ def _term_quotes(g: Graph) -> DataFrame:
 
 
 def _claims(g: Graph) -> DataFrame:
-    """Spans taken from documents' lines, claimed to start elsewhere; every 5th has a wrong letter."""
-    line = _lines(g).where("char_end - char_start > 12")
-    wrong = F.when(F.col("at") % 5 == 4, F.concat(F.lit("\u00a7"), F.substring("span", 2, 11))).otherwise(F.substring("span", 1, 12))
-    return line.select((F.col("doc_id") * 100000 + F.col("at")).alias("claim"), "doc_id", wrong.alias("span"), (F.col("char_start") + F.col("at") * 7 % 40).alias("claimed_start"))
+    """Documents' whole lines, claimed to start elsewhere; every 5th has a wrong letter, every 50th is blank, some are wrapped, some name the first section or one that isn't there."""
+    at = F.col("at")
+    wrong = F.when(at % 50 == 49, F.lit(" \n")).when(at % 5 == 4, F.concat(F.lit("\u00a7"), F.substring("span", 2, 2**31 - 1))).when(at % 4 == 1, F.replace("span", F.lit(" "), F.lit(" \n"))).otherwise(F.col("span"))
+    start = F.col("char_start") + F.when(at % 2 == 0, at * 7 % 40).otherwise(0)
+    named = F.when(at % 3 == 1, F.lit("s0000")).when(at % 3 == 2, F.lit("none"))
+    return _lines(g).select((F.col("doc_id") * 100000 + at).alias("claim"), "doc_id", wrong.alias("span"), start.alias("claimed_start"), (start + F.length("span")).alias("claimed_end"), named.alias("section"))
 
 
-def _texts(g: Graph) -> DataFrame:
-    """Documents as their non-empty lines, so that offsets fit the segments."""
-    return g.table("documents").select("doc_id", F.array_join(F.filter(F.split("text", "\n"), lambda x: F.length(x) > 0), "\n").alias("text"))
+def _grounded(g: Graph) -> DataFrame:
+    # the texts are put together from the lines, so that all is dealt out by doc_id once
+    spans = F.array_sort(F.collect_list(F.struct("char_start", "span")))
+    texts = _lines(g).groupBy("doc_id").agg(F.array_join(F.transform(spans, lambda x: x["span"]), "\n").alias("text"))
+    order = Window.partitionBy("doc_id").orderBy("char_start")
+    sections = ingest.section_intervals(_marked(g)).withColumn("section", F.format_string("s%04d", F.row_number().over(order) - 1))
+    return rules.grounded_in_sections(_claims(g), texts, sections, ingest.pages(_lines(g)))
 
 
 def _responses(g: Graph) -> DataFrame:
@@ -156,7 +162,7 @@ TEXT = {
     "f01_offsets": _graph(_offsets),
     "g05_g06_markers": _graph(lambda g: rules.quotes(g).select("id", T.is_redacted(F.col("quote")).alias("redacted"), T.is_blank(F.col("quote")).alias("blank"))),
     "g05_redacted_documents": _graph(lambda g: g.table("documents").where(T.is_redacted(F.col("text"))).select("doc_id")),
-    "g03_grounded": _graph(lambda g: rules.grounded(_claims(g), _texts(g))),
+    "g03_grounded": _graph(_grounded),
     "g03_passages": _graph(lambda g: rules.passages(g.table("benchmark"), g.table("documents"))),
     "i01_html_lines": _graph(lambda g: ingest.html_lines(g.table("pages"))),
     "i02_folded": _graph(lambda g: g.table("documents").select("doc_id", T.line_folded(F.col("text")).alias("folded"))),
