@@ -91,7 +91,10 @@ def _pattern(words: str) -> str:
 
 
 def parsed_timing(q: DataFrame) -> DataFrame:
-    """The first construction in order of precedence, its relation, signed count, unit, trigger phrase and kind, and why it stays open."""
+    """Part of T02-T07: the first of nine constructions in order of precedence, its relation, signed count in digits, unit, trigger phrase and kind, and why it stays open.
+
+    README lists what is not built.
+    """
     quote = F.col("quote")
     fits = [(name, quote.rlike(_pattern(words) + r"(?=[^,;.]*[^\s,;.])"), words, relation, sign) for name, words, relation, sign in CONSTRUCTIONS]
 
