@@ -13,8 +13,20 @@ REDACTED = r"(?i)\[\*{3}\]|\[\* \* \*\]|\*{3,}|\[redacted\]|\[confidential treat
 BLANK = r"\[●\]|\[•\]|\[ +\]|_{4,}"
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 LONG_DATE = rf"(?:{MONTHS}) [0-9]{{1,2}}, [0-9]{{4}}"
-ISO_DATE = r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b"
-MONEY = r"(?<![0-9.,])-?\$[0-9]{1,3}(?:,[0-9]{3})*(?:\.[0-9]{2})?(?![0-9]|,[0-9]|\.[0-9])|(?<![0-9.,])\(\$[0-9]{1,3}(?:,[0-9]{3})*(?:\.[0-9]{2})?\)"
+MONTH = MONTHS + "|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec"
+# the forms of a date, each with the groups of its year, month and day
+DATES = (
+    (rf"(?U)\b({MONTH})\.?\s+([0-9]{{1,2}}),?\s+([0-9]{{4}})\b", 3, 1, 2),
+    (rf"(?U)\b([0-9]{{1,2}})\s+({MONTH})\.?,?\s+([0-9]{{4}})\b", 3, 2, 1),
+    (r"(?U)\b([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})\b", 3, 1, 2),
+    (r"(?U)\b([0-9]{4})-([0-9]{2})-([0-9]{2})\b", 1, 2, 3),
+)
+_AMOUNT = r"(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]{2})?"
+MONEY = (
+    rf"(?<![0-9.,])-?\$\s?{_AMOUNT}(?![0-9]|,[0-9]|\.[0-9])"
+    rf"|(?<![0-9.,])\(\s*\$\s?{_AMOUNT}\s*\)(?![0-9]|,[0-9]|\.[0-9])"
+    rf"|(?<![0-9.,]){_AMOUNT}\s+(?i:dollars)\b"
+)
 DUE_CUE = r"(?i)\b(?:on or before|no later than|by|until|due|prior to)\b"
 
 
@@ -69,11 +81,19 @@ def status_of(quote: Column) -> Column:
 
 def dates(text: Column) -> Column:
     """Array of (start, date) of calendar dates; those that no calendar has are left out."""
-    found = F.concat(
-        F.transform(occurrences(text, rf"\b{LONG_DATE}(?![0-9])"), lambda o: F.struct(o["start"].alias("start"), F.try_to_timestamp(o["match"], F.lit("MMMM d, yyyy")).cast("date").alias("date"))),
-        F.transform(occurrences(text, ISO_DATE), lambda o: F.struct(o["start"].alias("start"), F.try_to_timestamp(o["match"], F.lit("yyyy-MM-dd")).cast("date").alias("date"))),
-    )
-    return F.array_sort(F.filter(found, lambda d: d["date"].isNotNull()))
+
+    def read(match: Column, pattern: str, year: int, month: int, day: int) -> Column:
+        word = F.regexp_extract(match, pattern, month)
+        named = ((F.position(F.substring(word, 1, 3), F.lit("JanFebMarAprMayJunJulAugSepOctNovDec")) + 2) / 3).cast("int")
+        number = F.when(word.rlike("^[0-9]"), word.try_cast("int")).otherwise(named).cast("string")
+        parts = F.concat_ws("-", F.regexp_extract(match, pattern, year), number, F.regexp_extract(match, pattern, day).try_cast("int").cast("string"))
+        return F.try_to_timestamp(parts, F.lit("yyyy-M-d")).cast("date")
+
+    def form(pattern: str, *groups: int) -> Column:
+        return F.transform(occurrences(text, pattern), lambda o: F.struct(o["start"].alias("start"), read(o["match"], pattern, *groups).alias("date")))
+
+    # null isn't kept either
+    return F.array_sort(F.filter(F.concat(*(form(*x) for x in DATES)), lambda d: d["date"] >= F.lit("0001-01-01").cast("date")))
 
 
 def money(text: Column) -> Column:
@@ -81,10 +101,10 @@ def money(text: Column) -> Column:
     tokens = F.regexp_extract_all(text, F.lit(MONEY), F.lit(0))
 
     def cents(token: Column) -> Column:
-        plain = F.regexp_replace(token, r"[$,()-]", "").cast("decimal(18,2)")
+        plain = F.regexp_replace(token, r"[^0-9.]", "").try_cast("decimal(18,2)")
         return (plain * F.when(token.rlike(r"^[-(]"), -100).otherwise(100)).cast("long")
 
-    return F.transform(tokens, cents)
+    return F.array_compact(F.transform(tokens, cents))
 
 
 def has_due_cue(text: Column, start: Column) -> Column:

@@ -46,7 +46,7 @@ TRIGGERS = (
 
 
 def quotes(g: Graph) -> DataFrame:
-    """Quotes laid over the lines: an amount, a timing clause in one of nine forms, a date, and sometimes a marker."""
+    """Quotes laid over the lines: an amount in two forms, a timing clause in one of nine forms, a date in six, and sometimes a marker."""
     n = F.col("l_quantity").cast("int").cast("string")
     unit = F.element_at(F.array(*map(F.lit, UNITS)), (F.col("l_partkey") % 4 + 1).cast("int"))
     what = F.element_at(F.array(*map(F.lit, ("the Commencement Date", "receipt of an invoice", "written notice", "Substantial Completion", "expiration of it", "a sunny day"))), (F.col("l_suppkey") % 6 + 1).cast("int"))
@@ -57,9 +57,11 @@ def quotes(g: Graph) -> DataFrame:
     ]
     clause = F.element_at(F.array(*(F.concat(*(x if isinstance(x, Column) else F.lit(x) for x in p)) for p in parts)), (form + 1).cast("int"))
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-    amount = F.concat(F.lit("$"), F.format_number((cents / 100).cast("decimal(18,2)"), 2))
+    number = F.format_number((cents / 100).cast("decimal(18,2)"), 2)
+    amount = F.when(F.col("l_suppkey") % 4 == 3, F.concat(number, F.lit(" dollars"))).otherwise(F.concat(F.lit("$"), number))
     mark = F.when(F.col("l_partkey") % 11 == 0, " [***]").when(F.col("l_partkey") % 11 == 1, " ____").otherwise("")
-    date = F.concat(F.lit("; due "), F.date_format("l_shipdate", "MMMM d, yyyy"))
+    written = [F.date_format("l_shipdate", x) for x in ("MMM. d, yyyy", "MMMM d yyyy", "d MMMM yyyy", "M/d/yyyy", "yyyy-MM-dd")]
+    date = F.concat(F.lit("; due "), F.coalesce(F.get(F.array(*written), (F.col("l_partkey") % 6).cast("int")), F.date_format("l_shipdate", "MMMM d, yyyy")))
     return g.line.select(
         "id", form.alias("form"), F.col("l_quantity").cast("int").alias("n"), (F.col("l_partkey") % 4).alias("unit"), (F.col("l_suppkey") % 6).alias("event"), cents.alias("cents"),
         F.to_date("l_shipdate").alias("date"), (F.col("l_partkey") % 11).alias("marked"), F.col("l_orderkey").alias("agreement_id"),
