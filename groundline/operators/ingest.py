@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,10 @@ BLOCKS = frozenset("address article aside blockquote body center dd div dl dt fi
 SKIPPED = frozenset("head script style title noscript".split())
 SECTION = r"^(?:SECTION|Section) [0-9]+(?:\.[0-9]+)*\b"
 NUMBERED = r"^[0-9]+(?:\.[0-9]+)+ +[A-Z“\"]"
+# fixed values: what later chunks repeat of the first
+HEADER = "CONTEXT (do not extract)\n"
+CONTEXT = 1500
+CONTENTS = "^(?:TABLE OF CONTENTS|Table of Contents|CONTENTS)$"
 ARTICLE = r"^ARTICLE [IVXLC0-9]+\b"
 
 
@@ -185,17 +191,78 @@ def html_lines(pages_: DataFrame) -> DataFrame:
     return pages_.select("page_id", "html").mapInPandas(kernel, "page_id long, line long, span string, page long")
 
 
-def chunks(intervals: DataFrame, most: int = 12_000, key: str = "doc_id") -> DataFrame:
-    """I16: whole sections packed greedily, in order, into chunks of at most `most` code points."""
-
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("char_start", kind="stable")
-        chunk, size, out = 0, 0, []
-        for width in (group["char_end"] - group["char_start"]).tolist():
-            if size and size + width > most:
-                chunk, size = chunk + 1, 0
+def packed(sizes: list[int], labels: list[int], sections: list[int], most: int) -> list[int]:
+    """The chunk, from 0, of each segment of a document, tables of contents left out; labels: their lengths."""
+    lines = [size + label + len("[] \n") for size, label in zip(sizes, labels)]
+    out: list[int] = []
+    chunk, size, prefix = 0, 0, 0  # size 0: the chunk is empty
+
+    def close() -> None:
+        nonlocal chunk, size, prefix
+        if chunk == 0:
+            # later chunks repeat the first one's leading segments: CONTEXT code points of text at most, but one segment at least
+            shown = next((n for n in range(1, len(out)) if sum(sizes[: n + 1]) > CONTEXT), len(out))
+            prefix = len(HEADER) + sum(x + len("ctx ") for x in lines[:shown])
+        chunk, size = chunk + 1, 0
+
+    low = 0
+    while low < len(lines):
+        high = low
+        while high < len(lines) and sections[high] == sections[low]:
+            high += 1
+        width = sum(lines[low:high])
+        if size and prefix + size + width > most:
+            close()
+        if size or prefix + width <= most:
+            out += [chunk] * (high - low)
             size += width
-            out.append(chunk)
-        return pd.DataFrame({key: group[key], "char_start": group["char_start"], "chunk": out})
-
-    return intervals.groupBy(key).applyInPandas(pack, f"{key} long, char_start long, chunk long")
+        else:
+            # a section too large for an empty chunk is split between segments; a segment too large for one has a chunk of its own
+            for line in lines[low:high]:
+                if size and prefix + size + line > most:
+                    close()
+                out.append(chunk)
+                size += line
+                if prefix + line > most:
+                    close()
+        low = high
+    return out
+
+
+def chunks(marked: DataFrame, most: int = 12_000, key: str = "doc_id") -> DataFrame:
+    """I16: the segments of sections() packed greedily, in order, into chunks of at most `most` code points as they are sent.
+
+    Each segment is sent on a line with its label, and every chunk but the
+    first repeats the document's first segments. Sections are kept whole where
+    they fit; only a segment that fits no chunk makes one that is larger.
+    Segments of a table of contents have no chunk and aren't returned.
+    """
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, ats, found = [], [], []
+            for doc, segs, runs in zip(*(c.to_pylist() for c in batch.columns)):
+                segs.sort(key=itemgetter("at"))
+                mark, of, rows = 0, {}, []
+                for x in segs:
+                    mark += x["mark"]
+                    of[x["at"]] = mark
+                    rows.append((x["at"], x["size"], mark))
+                toc = {of[r["first_line"]] + i for r in runs or () for i in range(r["marks"])}
+                place = {x["at"]: i for i, x in enumerate(segs)}
+                heads = set()
+                for r in runs or ():
+                    # a heading line and a line 'Page' before the first entry belong to the table
+                    first = place[r["first_line"]]
+                    k = first - 2 if first and segs[first - 1]["page"] else first - 1
+                    if k >= 0 and segs[k]["contents"]:
+                        heads.update(range(k, first))
+                rows = [r for i, r in enumerate(rows) if r[2] not in toc and i not in heads]
+                ids += [doc] * len(rows)
+                ats += [r[0] for r in rows]
+                found += packed([r[1] for r in rows], [len(f"p{r[0] + 1:04d}") for r in rows], [r[2] for r in rows], most)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, ats, found)], [key, "at", "chunk"])
+
+    segs = marked.groupBy(key).agg(F.collect_list(F.struct("at", (F.col("char_end") - F.col("char_start")).alias("size"), F.col("kind").isNotNull().cast("int").alias("mark"), (F.col("span") == "Page").alias("page"), F.col("span").rlike(CONTENTS).alias("contents"))).alias("segs"))
+    runs = contents_runs(marked, key).groupBy(key).agg(F.collect_list(F.struct("first_line", "marks")).alias("runs"))
+    return segs.join(runs, key, "left").select(key, "segs", "runs").mapInArrow(kernel, f"{key} long, at long, chunk long")

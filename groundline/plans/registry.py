@@ -174,7 +174,7 @@ TEXT = {
     "i11_section_intervals": _graph(lambda g: ingest.section_intervals(_marked(g))),
     "i14_structure_faults": _graph(lambda g: ingest.structure_faults(ingest.pages(_lines(g)))),
     "i15_defined_terms": _graph(lambda g: ingest.defined_terms(_term_quotes(g))),
-    "i16_chunks": _graph(lambda g: ingest.chunks(ingest.section_intervals(_marked(g)))),
+    "i16_chunks": _graph(lambda g: ingest.chunks(_marked(g))),
     "e01_responses": _graph(lambda g: rules.parsed_responses(_responses(g))),
     "v01_drops": _graph(lambda g: rules.drops_by_reason(_proposals(g))),
     "v04_money": _graph(lambda g: rules.quotes(g).select("id", F.get(T.money(F.col("quote")), F.lit(0)).alias("cents"), F.size(T.money(F.col("quote"))).cast("long").alias("n"))),
