@@ -11,7 +11,8 @@ the same rows the lowest probability at which accepted predictions are right
 in TARGET_PRECISION of cases: below it a prediction is marked `rejected`.
 
 The model learns from at most TRAIN_ROWS documents whose CRC-32 of doc_id (as
-text) isn't divisible by 5. Only their n-gram counts reach the driver.
+text) isn't divisible by 5, drawn over all languages, and besides from
+RARE_ROWS, or all there are, of each language that would get fewer. Only their n-gram counts reach the driver.
 
 Defined results: null texts and texts without a letter are `und` with score 1;
 without any labelled row every text is `und` with score 0.
@@ -25,7 +26,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundline.llm.common import documents, map_arrow
@@ -34,7 +35,8 @@ from groundline.llm.samples import rows_of, smallest_hashes
 BUCKETS = 1 << 16
 DIM = 16
 ORDERS = (2, 3, 4)
-TRAIN_ROWS = 2000
+TRAIN_ROWS = 4000
+RARE_ROWS = 50
 EPOCHS = 6
 RATE = 2.0
 TARGET_PRECISION = 0.995
@@ -172,7 +174,16 @@ def held_out() -> F.Column:
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     usable = docs.where(~held_out() & F.col("lang").isNotNull())
-    sample = rows_of(usable.select("doc_id", "lang", "text"), smallest_hashes(usable, rows))
+    # a bounded fact: a count for each language
+    counts = {r["lang"]: r["count"] for r in usable.where("doc_id IS NOT NULL").groupBy("lang").count().collect()}
+    rare = [x for x, n in counts.items() if n * rows < RARE_ROWS * sum(counts.values())]
+    ids = smallest_hashes(usable, rows)
+    if rare:
+        # each of them has a small share of the rows, and only ids are sorted
+        order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+        few = usable.where(F.col("lang").isin(rare) & F.col("doc_id").isNotNull()).select("doc_id", "lang").distinct().withColumn("_n", F.row_number().over(order))
+        ids = ids.unionByName(few.where(F.col("_n") <= RARE_ROWS).select("doc_id")).distinct()
+    sample = rows_of(usable.select("doc_id", "lang", "text"), ids)
     return fit([tuple(r) for r in features(sample).collect()])
 
 
