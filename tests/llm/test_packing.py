@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from groundline.llm import packing, token_counts, vocab
@@ -15,32 +16,33 @@ def docs(spark, n=300):
     return rows + [(n, None, ""), (n + 1, "", ""), (n + 2, "word " * 9000, ""), (None, "null id", ""), (3, rows[3][1], ""), (3, rows[3][1], "")]
 
 
-def test_best_fit_is_best_fit():
+def test_classes_are_packed_by_best_fit():
     rng = random.Random(2)
-    for _ in range(30):
-        sizes = [rng.randrange(1, 60) for _ in range(rng.randrange(1, 80))]
-        bins, offsets, fills = packing.best_fit(sizes, 64)
+    for _ in range(200):
+        sizes = [rng.randrange(1, rng.choice([9, 65])) for _ in range(rng.randrange(1, 80))]
         free = []
-        for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-            fit = [f for f in free if f >= sizes[i]]
+        for size in sorted(sizes, reverse=True):
+            fit = [f for f in free if f >= size]
             if fit:
                 free.remove(min(fit))
-                free.append(min(fit) - sizes[i])
-            else:
-                free.append(64 - sizes[i])
-        assert sorted(64 - f for f in fills) == sorted(free)
-        for b in range(len(fills)):
-            at = 0
-            for o, s in sorted((offsets[i], sizes[i]) for i in range(len(sizes)) if bins[i] == b):
-                assert o == at
-                at += s
-            assert at == fills[b] <= 64
+            free.append((min(fit) if fit else 64) - size)
+        found = packing.fit_classes({s: sizes.count(s) for s in sizes}, 64)
+        assert sorted(64 - fill for n, fill, _ in found for _ in range(n)) == sorted(free)
+        assert all(fill == sum(s * k for s, k in held) <= 64 for _, fill, held in found)
+        assert sorted(s for n, _, held in found for s, k in held for _ in range(n * k)) == sorted(sizes)
+
+
+@pytest.mark.parametrize(("parts", "fan"), [(1, 8), (16, 8), (64, 8), (64, 2)])
+def test_as_few_sequences_as_can_be(spark, parts, fan):
+    found = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(parts), vocab.vocabulary(vocab.WORD_BPE), fan=fan)
+    r = found.agg(F.sum("length").alias("tokens"), F.count_distinct("sequence_id").alias("n")).first()
+    assert r["n"] <= -(-r["tokens"] // 2048) + 1
 
 
 def test_every_token_once(spark):
     rows = docs(spark)
     path = vocab.vocabulary(vocab.WORD_BPE)
-    out = packing.pack(spark.createDataFrame(rows, SCHEMA).repartition(11), path, fan=2, carry=3).collect()
+    out = packing.pack(spark.createDataFrame(rows, SCHEMA).repartition(11), path, fan=2).collect()
     library = vocab.tokenizer(path)
     want = {}
     for doc, text, _ in rows:
@@ -61,7 +63,7 @@ def test_every_token_once(spark):
             at += length
         assert at <= 2048
     total = sum(n * k[3] for k, n in want.items())
-    assert len(by) <= total / 2048 * 1.05 + 3
+    assert len(by) <= -(-total // 2048) + 1
 
 
 def test_pack_nothing(spark):
