@@ -60,31 +60,54 @@ def test_next_document_in_descending_order(spark):
     assert winnowing.compared(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def dense(x):
+    return toxicity.Rows(np.repeat(np.arange(x.shape[0]), x.shape[1]), np.tile(np.arange(x.shape[1]), x.shape[0]), x.ravel(), x.shape)
+
+
 def test_cumulative_link_recovers_order():
     rng = np.random.default_rng(4)
-    x = rng.normal(size=(3000, 3))
-    line = x @ np.array([2.0, -1.0, 0.0]) + rng.logistic(size=3000)
+    x = rng.normal(size=(3000, 4))
+    line = x @ np.array([2.0, -1.0, 0.0, 0.0]) + rng.logistic(size=3000)
     y = np.searchsorted([-1.0, 0.5, 2.0], line)
-    w, t = toxicity.fit_cumulative(x, y, np.ones(3000))
-    assert np.allclose(w, [2, -1, 0], atol=0.3) and np.allclose(t, [-1, 0.5, 2], atol=0.3)
+    w, t = toxicity.fit_cumulative(dense(x), y, np.ones(3000), noise=0.0)
+    assert np.allclose(w, [2, -1, 0, 0], atol=0.3) and np.allclose(t, [-1, 0.5, 2], atol=0.3)
+    w, _ = toxicity.fit_cumulative(dense(x), y, np.ones(3000), noise=0.03 * 3000**0.5)
+    assert w[2] == w[3] == 0 and w[0] > 1 and w[1] < -0.4
+
+
+def test_score_is_the_sum_over_thresholds():
+    model = toxicity.Model({toxicity.bucket("scum"): 0, toxicity.bucket("^wonde"): 1}, np.array([2.0, -1.0]), np.array([1.0, 2.0, 4.0]))
+    line = 2 * np.log1p(2) - np.log1p(1)
+    above = [1 / (1 + np.exp(t - line)) for t in (1, 2, 4)]
+    severity, grade, p = model.score("Scum, wonderful SCUM!")
+    assert np.isclose(severity, sum(above)) and np.isclose(p, above[0])
+    assert grade == int(np.argmax([1 - above[0], above[0] - above[1], above[1] - above[2], above[2]]))
+    assert model.score(None) == model.score("")
 
 
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(docs.where("doc_id % 4 > 0"), labels.where("doc_id % 4 > 0"))
     found = toxicity.score(docs.where("doc_id % 4 = 0"), model).join(labels, "doc_id").toPandas()
-    toxic = found[found.toxic == 1]
-    assert toxic._rejected.mean() > 0.75
-    assert found[found.toxic == 0]._rejected.mean() < 0.02
-    assert toxic._severity.mean() > 5 * found[found.toxic == 0]._severity.mean()
+    toxic, clean = found[found.toxic == 1], found[found.toxic == 0]
+    assert toxic.rejected.mean() > 0.75
+    assert clean.rejected.mean() < 0.02
+    assert toxic.severity.mean() > 5 * clean.severity.mean()
 
 
 def test_toxicity_edges(spark):
-    schema = "doc_id long, text string, toxic string"
+    schema = "doc_id long, text string, Severity string"
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame([(1, None, "a"), (None, "", None), (2, "idiot " * 50000, "")], schema)
     assert toxicity.clean(docs, toxicity.train(docs, none)).count() == 3
     assert toxicity.clean(docs.limit(0), toxicity.train(docs, none)).count() == 0
+    assert {tuple(r) for r in toxicity.clean(docs, toxicity.train(docs, none)).collect()} == {tuple(r) for r in docs.collect()}
+    texts = ["you scum idiot", "a kind word", None, "", "scum scum", "kind", "idiot scum", "the word"] * 6
+    rows = [(i // 2, t, "") for i, t in enumerate(texts)]  # a doc_id with two texts, repeated texts
+    mixed = spark.createDataFrame([*rows, rows[0]], schema)
+    labels = spark.createDataFrame([(i // 2, 1, int("scum" in (t or ""))) for i, t in enumerate(texts)] + [(3, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    found = toxicity.score(mixed, toxicity.train(mixed, labels))
+    assert found.columns == ["doc_id", "text", "Severity", "severity_", "grade", "p_toxic", "rejected"] and found.count() == len(rows) + 1
 
 
 def test_language_held_out(spark):
