@@ -5,9 +5,13 @@ distinct digests, anti-joined with the index by a sort-merge join in which the
 index side needs no shuffle, and what is new is appended. Within a batch the
 row with the largest doc_id stays.
 
+The query feeds one index in BATCHES batches by falling doc_id, so that of
+equal texts the one with the largest doc_id is indexed first and the later
+batches' copies are found by the anti-join.
+
 Defined results: null text counts as empty; rows that repeat (doc_id, text)
 are one document and share their flags; a null doc_id never wins over another
-id; an empty table appends nothing.
+id; an empty table appends nothing; columns of any name are kept as they are.
 """
 
 from __future__ import annotations
@@ -17,9 +21,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundline.llm.common import documents, text_or_empty
+from groundline.llm.common import discard, documents, fresh, materialize, text_or_empty
 
 BUCKETS = 24
+#: Batches by doc_id that the query ingests one after the other.
+BATCHES = 3
 
 
 def with_digest(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -61,6 +67,9 @@ class DigestIndex:
             .saveAsTable(self.table)
         )
 
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
 
 def batch_groups(docs: DataFrame) -> DataFrame:
     """One row for each distinct text of a batch; counted before the shuffle, so that hot texts don't gather."""
@@ -73,13 +82,24 @@ def batch_groups(docs: DataFrame) -> DataFrame:
 
 def ingest(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """Append a batch's new texts to the index; return the groups that were new."""
-    from groundline.llm.common import materialize
-
     new = materialize(index.unseen(batch_groups(docs)), "new-digests")
     index.append(new)
     return new
 
 
+def batches(docs: DataFrame, number: int = BATCHES) -> list[DataFrame]:
+    """The documents by falling ranges of doc_id of equal width; rows without doc_id come last."""
+    bound = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
+    if bound["a"] is None:
+        return [docs]
+    cuts = [bound["a"] + (bound["b"] - bound["a"]) * i // number for i in range(number - 1, 0, -1)]
+    out = []
+    for above, low in zip([None, *cuts], [*cuts, None]):
+        wanted = F.lit(True) if above is None else F.col("doc_id") < above
+        out.append(docs.where(wanted & (F.col("doc_id") >= low)) if low is not None else docs.where(wanted | F.col("doc_id").isNull()))
+    return out
+
+
 def decisions(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The decision on each row. Both sides are shuffled, so that Spark can split a hot digest."""
     rows = with_digest(docs).select("doc_id", "text_sha256")
@@ -98,20 +118,29 @@ def new_index(spark: SparkSession) -> DigestIndex:
 
 def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The documents whose text is new to the index, one row for each text, with all their columns."""
+    own = index is None
     index = index or new_index(docs.sparkSession)
-    new = ingest(docs, index).select(F.col("digest").alias("_digest"), "keep_id")
-    rows = docs.withColumn("_digest", F.sha2(text_or_empty(), 256)).withColumn("_id", F.col("doc_id"))
-    kept = rows.join(
-        new.select(F.col("_digest").alias("_d"), F.col("keep_id").alias("_k")),
-        (F.col("_digest") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("_k")),
-        "left_semi",
-    )
-    return kept.dropDuplicates(["_digest"]).select(*docs.columns)
+    digest, id_ = fresh(docs, "digest", "keep_id")
+    new = ingest(docs, index).select(F.col("digest").alias(digest), F.col("keep_id").alias(id_))
+    if own:
+        index.drop()  # `new` is in the shared folder
+    rows = docs.withColumn(digest, F.sha2(text_or_empty(), 256))
+    kept = rows.join(new, (rows[digest] == new[digest]) & rows["doc_id"].eqNullSafe(new[id_]), "left_semi")
+    return kept.dropDuplicates([digest]).select(*docs.columns)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return decisions(docs, ingest(docs, new_index(spark)))
+    index = new_index(spark)
+    parts = batches(docs)
+    for part in parts:
+        discard(spark, ingest(part, index))
+    # what the index keeps, and how many documents have each text over all batches
+    sizes = with_digest(docs).groupBy(F.col("text_sha256").alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+    groups = index.rows().select("digest", "keep_id").join(sizes, "digest").select("digest", "keep_id", F.col("n").alias("group_size"))
+    found = materialize(decisions(docs, groups), "decisions")
+    index.drop()
+    return found
 
 
 OP9_SQL = """
