@@ -135,33 +135,49 @@ def in_order(docs: DataFrame) -> DataFrame:
 
     Ranges of doc_id form buckets. The first document of each bucket is also
     sent, as a copy, to the bucket before it, where it follows the last row.
-    Only bucket bounds and heads (a few for each partition) reach the driver.
+    Only bucket bounds and heads (a few numbers for each partition) reach the
+    driver; they go to the workers as sorted arrays that are searched.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    wanted = 4 * parts
-    bounds = sorted({int(x) for x in ids.approxQuantile("doc_id", [i / wanted for i in range(1, wanted)], 0.2 / wanted)})
-    edges = F.array(*(F.lit(x).cast("long") for x in bounds)).cast("array<long>")
-    bucket = F.when(F.col("doc_id").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(parts))).otherwise(F.size(F.filter(edges, lambda x: x <= F.col("doc_id")))).cast("int")
-    heads = {r["b"]: r["m"] for r in ids.where("doc_id IS NOT NULL").groupBy(bucket_of(ids, edges).alias("b")).agg(F.max("doc_id").alias("m")).collect()}
-    used = sorted(heads)
-    before = {b: used[(i + 1) % len(used)] for i, b in enumerate(used)}  # the highest bucket comes first, so the lowest is before it
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_b", bucket)
-    if used:
-        at = F.greatest(F.col("_b"), F.lit(0))
-        head = F.get(F.array(*(F.lit(heads.get(b)).cast("long") for b in range(used[-1] + 1))), at)
-        to = F.get(F.array(*(F.lit(before.get(b, -1)) for b in range(used[-1] + 1))), at)
-        own = F.struct(F.col("_b").alias("b"), F.lit(0).alias("copy"))
-        rows = rows.withColumn("_at", F.explode(F.when(F.col("doc_id") == head, F.array(own, F.struct(to.alias("b"), F.lit(1).alias("copy")))).otherwise(F.array(own))))
-        rows = rows.select("doc_id", "text", F.col("_at.b").alias("_b"), F.col("_at.copy").alias("_copy"))
-    else:
-        rows = rows.withColumn("_copy", F.lit(0))
-    return rows.repartition(parts, "_b").sortWithinPartitions(F.asc("_b"), F.asc("_copy"), F.desc("doc_id"), F.asc("text"))
-
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL")
+    bounds = np.array(sorted({int(x) for x in ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)}), np.int64)
 
-def bucket_of(ids: DataFrame, edges: F.Column) -> F.Column:
-    return F.size(F.filter(edges, lambda x: x <= F.col("doc_id"))).cast("int")
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch["doc_id"].to_numpy()
+            if len(found):
+                found = np.sort(found)
+                at = np.searchsorted(bounds, found, "right")
+                last = np.flatnonzero(np.append(at[1:] != at[:-1], True))
+                yield pa.RecordBatch.from_arrays([pa.array(at[last], pa.int32()), pa.array(found[last], pa.int64())], ["b", "m"])
+
+    tops = {r["b"]: r["m"] for r in map_arrow(ids, heads, "b int, m long", 1 << 16).groupBy("b").agg(F.max("m").alias("m")).collect()}
+    used = np.array(sorted(tops), np.int32)
+    head = np.full(len(bounds) + 1, np.iinfo(np.int64).min)
+    before = np.full(len(bounds) + 1, -1, np.int32)
+    if len(used):
+        head[used] = [tops[b] for b in used.tolist()]
+        before[used] = np.roll(used, -1)  # the highest bucket comes first, so the lowest is before it
+    sent = spark.sparkContext.broadcast((bounds, head, before))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds, head, before = sent.value
+        for batch in batches:
+            known = np.array(batch["doc_id"].is_valid())
+            found = batch["doc_id"].fill_null(0).to_numpy(zero_copy_only=False)
+            at = np.searchsorted(bounds, found, "right").astype(np.int32)
+            copies = np.flatnonzero(known & (found == head[at]))
+            own = np.where(known, at, -1 - np.arange(len(at)) % parts).astype(np.int32)
+            rows = np.concatenate([np.arange(len(at)), copies])
+            to = np.concatenate([own, before[at[copies]]])
+            flag = np.repeat(np.array([0, 1], np.int32), [len(at), len(copies)])
+            wide = pa.Table.from_batches([batch]).take(pa.array(rows)) if len(copies) else pa.Table.from_batches([batch])
+            for part in wide.append_column("_b", pa.array(to, pa.int32())).append_column("_copy", pa.array(flag, pa.int32())).to_batches():
+                yield part
+
+    rows = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), deal, "doc_id long, text string, _b int, _copy int")
+    return rows.repartition(parts, "_b").sortWithinPartitions(F.asc("_b"), F.asc("_copy"), F.desc("doc_id"), F.asc("text"))
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
