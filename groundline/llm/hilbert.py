@@ -11,14 +11,18 @@ so row counts differ by one at most. Ranks are global: rows are range-sorted,
 each partition's count is summed over the preceding partitions (a table with
 one row for each partition), and no task ever holds more than one partition.
 
+Rows with equal texts form a group: all of them take the cell of the group's
+row with the smallest doc_id and are neighbours in the order, so a group is
+together in a shard unless the law's cut by rank goes through it.
+
 Defined results: nulls take cell 0 of their dimension; ties are ordered by the
-text's CRC-32, then doc_id; equal rows are dealt in any order; an empty table
+text's size and hashes, then doc_id; equal rows are dealt in any order; an empty table
 gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundline.llm.common import documents, materialize, text_or_empty
@@ -91,43 +95,50 @@ def hilbert_index(cells: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(packed, start, step, lambda state: state["h"])
 
 
-def quantised(docs: DataFrame, bits: int = BITS) -> list[Column]:
-    """The grid cell of each document: hashed names, logarithmic length, and doc_id between its bounds."""
+def quantised(bits: int, low: int, high: int) -> list[Column]:
+    """The grid cell of a group: hashed names, logarithmic length, and doc_id between its bounds."""
     top = (1 << bits) - 1
-    bound = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
-    low, high = (bound["a"] or 0), (bound["b"] or 0)
     width = max(1, (high - low) // (top + 1) + 1)
     return [
         F.coalesce(F.pmod(F.xxhash64("lang"), F.lit(top + 1)).cast("int"), F.lit(0)),
         F.coalesce(F.pmod(F.xxhash64("source"), F.lit(top + 1)).cast("int"), F.lit(0)),
-        F.least(F.lit(top), F.floor(F.log2(F.length(text_or_empty()) + 1.0) * 1.5)).cast("int"),
+        F.least(F.lit(top), F.floor(F.log2(F.col("n") + 1.0) * 1.5)).cast("int"),
         F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)), F.lit(0)).cast("int"),
     ]
 
 
 def curve_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """doc_id, size, text_crc32, curve_index, and each row's shard and slot under the law `rows`."""
-    spark = docs.sparkSession
-    keys = docs.select(
-        "doc_id",
-        (F.octet_length(text_or_empty()) + 16).cast("long").alias("size"),
-        F.crc32(text_or_empty()).alias("text_crc32"),
-        hilbert_index(quantised(docs, bits), bits).alias("curve_index"),
-    )
-    order = ["curve_index", "text_crc32", "doc_id"]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = materialize(
-        keys.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "curve"
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    text = text_or_empty()
+    rows = materialize(
+        docs.select(
+            "doc_id",
+            (F.octet_length(text) + 16).cast("long").alias("size"),
+            F.crc32(text).alias("text_crc32"),
+            F.xxhash64(text).alias("h"),
+            F.struct("doc_id", "lang", "source", F.length(text).alias("n")).alias("meta"),
+        ),
+        "metadata",
     )
-    part = F.shiftright("_at", 33)
-    placed.createOrReplaceTempView("_curve_placed")
-    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    counts.createOrReplaceTempView("_curve_counts")
-    starts = spark.sql(
-        "SELECT _part, sum(_n) OVER (ORDER BY _part ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - _n AS _start, "
-        "sum(_n) OVER (ORDER BY _part ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS _total FROM _curve_counts"
-    )  # one row for each partition
-    ranked = placed.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("_rank", F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1))
+    bound = rows.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
+    text_key = ["size", "text_crc32", "h"]
+    first = F.min_by("meta", F.struct(F.col("doc_id").isNull(), "doc_id", "meta.lang", "meta.source"))
+    groups = rows.groupBy(*text_key).agg(first.alias("g"), F.count(F.lit(1)).alias("copies"))
+    own = [*text_key, "g.doc_id", "g.lang", "g.source", "g.n"]
+    shared = groups.where("copies > 1").select(*own).withColumn("curve_index", hilbert_index(quantised(bits, bound["a"] or 0, bound["b"] or 0), bits))
+    # the groups' side has one row for each text that has copies; hot groups are on the other side, where Spark can split them
+    theirs = shared.select(*(F.col(c).alias(f"_{c}") for c in text_key), F.col("curve_index").alias("_index"))
+    same = (F.col("size") == F.col("_size")) & (F.col("text_crc32") == F.col("_text_crc32")) & (F.col("h") == F.col("_h"))
+    alone = rows.select("doc_id", *text_key, "meta.lang", "meta.source", "meta.n").withColumn("curve_index", hilbert_index(quantised(bits, bound["a"] or 0, bound["b"] or 0), bits))
+    keys = alone.join(theirs, same, "left").select("doc_id", *text_key, F.coalesce("_index", "curve_index").alias("curve_index"))
+    order = ["curve_index", *text_key, "doc_id"]
+    placed = materialize(keys.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "curve")
+    counts = placed.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    running = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over one row for each partition
+    every = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    starts = counts.select("_part", (F.sum("_n").over(running) - F.col("_n")).alias("_start"), F.sum("_n").over(every).alias("_total"))
+    ranked = placed.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(starts), "_part").withColumn("_rank", F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1))
     return ranked.withColumn("shard", F.expr(f"cast(_rank * {shards} div _total as int)")).select(
         "doc_id",
         "size",

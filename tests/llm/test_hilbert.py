@@ -35,3 +35,14 @@ def test_few_rows_and_none(spark):
     assert curve_shards(spark.createDataFrame([], SCHEMA)).count() == 0
     out = curve_shards(spark.createDataFrame([(None, None, None, None, None)], SCHEMA).withColumn("shard", F.lit(1))).collect()
     assert [(r["size"], r["text_crc32"], r["slot"]) for r in out] == [(16, 0, 0)]
+
+
+def test_equal_texts_stay_together(spark):
+    rows = [(i * 1000, f"t{i % 40}", "en", f"s{i % 3}", None) for i in range(400)] + [(i, "", "de", None, None) for i in range(7)] + [(3, None, None, "s", None)]
+    out = curve_shards(spark.createDataFrame(rows, SCHEMA).repartition(6), 12).collect()
+    assert len(out) == len(rows)
+    places = {}
+    for r in sorted(out, key=lambda r: (r["shard"], r["slot"])):
+        places.setdefault((r["size"], r["text_crc32"]), set()).add((r["shard"], r["curve_index"]))
+    assert all(len({c for _, c in p}) == 1 for p in places.values())
+    assert sum(len(p) - 1 for p in places.values()) <= 11  # only cuts by rank divide a group
