@@ -3,7 +3,9 @@
 No step gathers a component: every round is a few hash aggregations and joins
 over edges, written to the shared folder. A round links each node's larger
 neighbours to its smallest one (large star), then its smaller ones (small
-star); the edges end as one star for each component.
+star); the edges end as one star for each component. A hub's edges are dealt
+over SALTS tasks, to each of which goes a copy of every node's smallest
+neighbour (SALTS rows for a node).
 """
 
 from __future__ import annotations
@@ -14,16 +16,26 @@ from pyspark.sql import functions as F
 from groundline.llm.common import discard, materialize
 
 
+SALTS = 8
+
+
+def _met(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Each edge (u, v) with u's smallest neighbour m, salted by v."""
+    spread = least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    return dealt.join(spread, (F.col("u") == F.col("_u")) & (F.col("salt") == F.col("_salt")))
+
+
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, F.col("u") == F.col("_u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return _met(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), "m")
-    linked = down.join(least, F.col("u") == F.col("_u")).select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    linked = _met(down, least).select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.union(least.select(F.col("_u").alias("u"), F.col("m").alias("v"))).distinct()
 
 

@@ -1,38 +1,47 @@
 """Exact Jaccard self-join of documents on word shingles, by vertical partitioning.
 
-The global order of shingles (by 64-bit hash) is cut into fragments; a pair's
-overlap is the sum of the partial overlaps counted in the fragments apart.
-
-1. Every text becomes its set of shingles. Equal sets are one node.
-2. First fragments. Two sets that link share at least l of their first
+Shingles have one global order: those that many documents have come last, in
+order of how many, all others before them by their 64-bit hash. A pair's
+overlap is the sum of partial overlaps that are counted apart.
+
+1. Every text becomes its set of shingles. Equal sets (by a 128-bit digest and
+   size) are one vertex. The same pass counts common shingles for the order; at
+   most COMMON of them are told from the rest. The order changes only the work,
+   never the result.
+2. Candidates. Two sets that link share at least l of their first
    a - ceil(t a) + l shingles (a: the set's size, t: the threshold; l = lead(a)
    here, the smaller set's l for a pair). These leading shingles are dealt out
    by hash, each hash being counted by itself, and the partial overlaps are
-   summed for each pair. A hash with more than HOT nodes makes no pairs:
-   a pair's sum may then lack as many hits as both nodes have hot hashes, and
+   summed for each pair. A hash with more than HOT sets makes no pairs:
+   a pair's sum may then lack as many hits as both sets have hot hashes, and
    pairs that could reach l by hot hashes alone are kept together by linking
-   each such node to the hash's first one.
-3. What is left are candidate links. Their connected components are blocks.
-4. Whole sets, of nodes in blocks only, are sent to their block. There the
-   partial overlaps are counted fragment by fragment and summed, from one set
-   against all that it isn't connected with yet; sets once reached by a link
-   need no further test, so that a group of copies costs its size and not its
-   square. A block with more than BLOCK_SHINGLES is cut into chunks and each
-   pair of chunks is one task, so no task grows with a block.
-5. The links found connect nodes into components.
-
-Nothing is approximate but the 64-bit hashes' collisions.
+   each such set to the hash's first one. Connected candidates are a block.
+3. Whole sets, of blocks only, are cut vertically: the hash order has
+   FRAGMENTS fragments, and each set sends its part of a fragment to the
+   fragment's task. A task counts partial overlaps and leaves out a pair only
+   where the part alone shows that the pair can't link. Partial overlaps are
+   summed for each pair, and the sum decides exactly.
+4. Two rounds of this. First each block's pivot, the set with most candidate
+   links, is compared with the whole block; what links with it is connected.
+   Then the sets that don't are compared with all of their block. Two sets
+   that both link with the pivot need no test, so a group of copies costs its
+   size and not its square. Blocks of more than BLOCK_SHINGLES are dealt in
+   chunks, of members and of askers, so no task grows with a block.
+5. The links found connect vertices into components.
+
+Nothing is approximate but for collisions: of shingles' 64-bit hashes, and of
+digests of 128 bits.
 
 Defined results: null, empty and wordless texts have an empty set and link
 with nothing; a text with fewer than 5 words has its whole sequence as its one
-shingle; rows that share a doc_id count as one document in components; rows
+shingle; rows that share a doc_id each count with their own text; rows
 without doc_id link with nothing and have no component; an empty table gives
 an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from groundline.llm.common import discard, documents, map_arrow, materialize
+from groundline.llm.common import discard, documents, fresh, map_arrow, materialize, text_or_empty
 from groundline.llm.components import components
 from groundline.llm.winnowing import _BASE, _INVERSE, _power, mixed
 
@@ -48,6 +57,9 @@ WORDS = 5
 THRESHOLD = 80  # of 100
 HOT = 48
 FRAGMENTS = 4
+#: How many common shingles the order tells apart, and how many a task reports.
+COMMON = 1 << 16
+COMMON_IN_TASK = 1 << 12
 BLOCK_SHINGLES = 3_000_000
 #: Fixed size of the filter that spares texts outside blocks their way through a shuffle.
 FILTER_BITS = 1 << 24
@@ -89,9 +101,10 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(mixed(total))
 
 
-def digest(found: np.ndarray) -> int:
-    """The key of a set, as a signed 64-bit number."""
-    return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
+def digest(found: np.ndarray) -> tuple[int, int]:
+    """The key of a set, as two signed 64-bit numbers."""
+    whole = xxhash.xxh3_128_intdigest(found.tobytes())
+    return (whole & ((1 << 64) - 1)) - (1 << 63), (whole >> 64) - (1 << 63)
 
 
 def signed(hashes: np.ndarray) -> np.ndarray:
@@ -111,23 +124,86 @@ def lead_column(size: Column, threshold: int = THRESHOLD) -> Column:
     return F.least(F.ceil(size * threshold / 100.0), 4 + F.floor(size / 20)).cast("long")
 
 
+class Common:
+    """Counts the shingles of a task's sets and keeps the most frequent ones."""
+
+    def __init__(self, limit: int = COMMON_IN_TASK):
+        self.limit, self.seen = limit, set()
+        self.hashes, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, sets: list[np.ndarray]) -> None:
+        if sets:
+            found, counts = np.unique(np.concatenate(sets), return_counts=True)
+            many = counts > 1
+            self.hashes, at = np.unique(np.concatenate([self.hashes, found[many]]), return_inverse=True)
+            self.counts = np.bincount(at, np.concatenate([self.counts, counts[many]]), len(self.hashes)).astype(np.int64)
+            if len(self.hashes) > 8 * self.limit:
+                self._cut(4 * self.limit)
+
+    def _cut(self, most: int) -> None:
+        keep = np.sort(np.argsort(-self.counts, kind="stable")[:most])
+        self.hashes, self.counts = self.hashes[keep], self.counts[keep]
+
+    def most(self) -> tuple[np.ndarray, np.ndarray]:
+        self._cut(self.limit)
+        return self.hashes, self.counts
+
+
+NODES = "doc_id long, mark string, node long, check long, n_shingles long, common boolean"
+
+
 def nodes_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, n_shingles) of every row; node is null for an empty set."""
+    """(doc_id, mark, node, check, n_shingles) of every row: the text's MD5, the set's digest (null for an empty set) and size.
+
+    Rows with `common` tell of shingles: node is the hash, n_shingles how many of a task's sets have it.
+    """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = Common()
+        names = [x.split()[0] for x in NODES.split(", ")]
         for batch in batches:
-            nodes, sizes = [], []
+            keys, sizes, new = [], [], []
             for text in batch["text"]:
                 found = shingles(text.as_py() or "")
-                nodes.append(digest(found) if len(found) else None)
-                sizes.append(len(found))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "node", "n_shingles"])
-
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kernel, "doc_id long, node long, n_shingles long")
-
-
-def leading(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+                key = digest(found) if len(found) else (None, None)
+                keys.append(key), sizes.append(len(found))
+                if len(found) and key[0] not in common.seen:
+                    if len(common.seen) >= 500_000:
+                        common.seen.clear()
+                    common.seen.add(key[0])
+                    new.append(found)
+            common.add(new)
+            node, check = zip(*keys) if keys else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], batch["mark"], pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(sizes, pa.int64()), pa.array([False] * len(sizes), pa.bool_())], names
+            )
+        hashes, counts = common.most()
+        none = pa.nulls(len(hashes), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.nulls(len(hashes), pa.string()), pa.array(signed(hashes)), none, pa.array(counts), pa.array([True] * len(hashes), pa.bool_())], names)
+
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5(text_or_empty()).alias("mark")), kernel, NODES)
+
+
+def common_shingles(nodes: DataFrame, limit: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in rising order, and each one's place in the order of frequency; at most `limit`."""
+    rows = nodes.where("common").groupBy("node").agg(F.sum("n_shingles").alias("n")).orderBy(F.desc("n"), "node").limit(limit).collect()
+    hashes = np.array([r["node"] for r in reversed(rows)], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], order
+
+
+def in_global_order(found: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    hashes, rank = common
+    if not len(hashes):
+        return found
+    at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+    last = hashes[at] == found
+    return np.concatenate([found[~last], found[last][np.argsort(rank[at[last]])]])
+
+
+def leading(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], threshold: int = THRESHOLD) -> DataFrame:
     """(h, node, size) of each set's leading shingles; a task emits a set once as long as it remembers it."""
+    sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -136,12 +212,12 @@ def leading(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             for text in batch["text"]:
                 found = shingles(text.as_py() or "")
                 a = len(found)
-                if not a or (node := digest(found)) in seen:
+                if not a or (node := digest(found)[0]) in seen:
                     continue
                 if len(seen) >= 500_000:
                     seen.clear()
                 seen.add(node)
-                hashes.append(found[: a - least_overlap(a, threshold) + lead(a, threshold)])
+                hashes.append(in_global_order(found, sent.value)[: a - least_overlap(a, threshold) + lead(a, threshold)])
                 nodes.append(node)
                 sizes.append(a)
             if hashes:
@@ -154,10 +230,10 @@ def leading(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return map_arrow(docs.where("doc_id IS NOT NULL").select("text"), kernel, "h long, node long, size int")
 
 
-def candidate_links(docs: DataFrame, threshold: int = THRESHOLD, hot: int = HOT) -> DataFrame:
+def candidate_links(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], threshold: int = THRESHOLD, hot: int = HOT) -> DataFrame:
     """(u, v): nodes that must be compared; every pair that links is connected by these."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = leading(docs, threshold).repartition(parts, "h").groupBy("h", "node").agg(F.min("size").alias("size"))
+    dealt = leading(docs, common, threshold).repartition(parts, "h").groupBy("h", "node").agg(F.min("size").alias("size"))
     by_hash = Window.partitionBy("h")
     shared = materialize(dealt.withColumn("n", F.count(F.lit(1)).over(by_hash)).where("n > 1"), "leading")
     hits = shared.withColumn("hot", F.count_if(F.col("n") > hot).over(Window.partitionBy("node")))
@@ -181,96 +257,81 @@ def candidate_links(docs: DataFrame, threshold: int = THRESHOLD, hot: int = HOT)
     return found
 
 
-def linked_sets(ids: list[int], sets: list[np.ndarray], threshold: int = THRESHOLD, fragments: int = FRAGMENTS) -> list[tuple[int, int]]:
-    """(id, smallest id of its component) within one block, for all that link with another.
+def partial_overlaps(members: list[tuple[int, int, bool, np.ndarray]], askers: list[tuple[int, int, bool, np.ndarray]], threshold: int = THRESHOLD) -> list[np.ndarray]:
+    """(u, v, partial overlap, u's size, v's size) of askers u and members v within a fragment. Each is (vertex, set size, asks, part).
 
-    The order of shingles is cut into fragments; each keeps its own postings.
-    A set's overlap with every set not yet reached is the sum of what the
-    fragments count.
+    A pair is left out if its parts already miss more than the pair may miss
+    in all, and of two askers only the smaller vertex asks.
     """
-    order = sorted(range(len(ids)), key=lambda i: ids[i])
-    ids, sets = [ids[i] for i in order], [sets[i] for i in order]
-    sizes = np.array([len(s) for s in sets])
-    n = len(ids)
-    root = np.full(n, -1)
-    terms = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int64)
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    width = int(terms.max()) + 1 if len(terms) else 0
-    cut = [width * f // fragments for f in range(fragments + 1)]
-    open_ = np.ones(n, bool)
-
-    def postings(which: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each fragment: where each of its terms' postings begin, and the sets."""
-        keep = np.repeat(which, sizes)
-        t, o = terms[keep], np.repeat(np.arange(n), sizes)[keep]
-        by = np.argsort(t, kind="stable")
-        t, o = t[by], o[by]
-        out = []
-        for f in range(fragments):
-            low, high = np.searchsorted(t, [cut[f], cut[f + 1]])
-            out.append((np.searchsorted(t[low:high], np.arange(cut[f], cut[f + 1] + 1)), o[low:high]))
-        return out
-
-    index, held = postings(open_), n
-    for first in range(n):
-        if root[first] >= 0:
+    if not members or not askers:
+        return []
+    vertex = np.array([m[0] for m in members])
+    size = np.array([m[1] for m in members])
+    asks = np.array([m[2] for m in members])
+    parts = np.array([len(m[3]) for m in members])
+    terms = np.concatenate([m[3] for m in members])
+    order = np.argsort(terms, kind="stable")
+    terms, owner = terms[order], np.repeat(np.arange(len(members)), parts)[order]
+    out = []
+    for u, a, _, part in askers:
+        low, high = np.searchsorted(terms, part, "left"), np.searchsorted(terms, part, "right")
+        count = high - low
+        total = int(count.sum())
+        if not total:
             continue
-        root[first], open_[first] = first, False
-        queue = [first]
-        while queue:
-            x = queue.pop()
-            left = int(open_.sum())
-            if not left:
-                continue
-            if left < held / 2:
-                index, held = postings(open_), left
-            own = terms[bounds[x] : bounds[x + 1]]
-            overlap = np.zeros(n, np.int64)
-            for f, (starts, owners) in enumerate(index):
-                mine = own[(own >= cut[f]) & (own < cut[f + 1])] - cut[f]
-                lo, count = starts[mine], starts[mine + 1] - starts[mine]
-                total = int(count.sum())
-                if total:
-                    at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(total)
-                    overlap += np.bincount(owners[at], minlength=n)
-            new = np.flatnonzero(open_ & (overlap > 0) & (100 * overlap >= threshold * (sizes + sizes[x] - overlap)))
-            root[new], open_[new] = first, False
-            queue.extend(new.tolist())
-    return [(ids[i], ids[r]) for i, r in enumerate(root.tolist()) if i != r]
-
-
-def _grouped(kernel: Callable[[list, list], list[tuple[int, int]]]):
-    """Run `kernel` on each run of rows with equal (block, i, j); rows come sorted."""
+        hit, overlap = np.unique(owner[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(total)], return_counts=True)
+        b = size[hit]
+        need = -(-threshold * (a + b) // (100 + threshold))
+        fits = (np.minimum(a, b) >= need) & (len(part) - overlap <= a - need) & (parts[hit] - overlap <= b - need) & (vertex[hit] != u) & (~asks[hit] | (vertex[hit] > u))
+        if fits.any():
+            hit = hit[fits]
+            out.append(np.stack([np.full(len(hit), u), vertex[hit], overlap[fits], np.full(len(hit), a), size[hit]]))
+    return out
+
+
+COUNTED = "u long, v long, partial long, a long, b long"
+
+
+def _by_fragment(threshold: int):
+    """partial_overlaps() of each run of rows with equal (block, i, j, f); rows come sorted."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sets, out = None, [], [], []
+        names = [x.split()[0] for x in COUNTED.split(", ")]
+        key, members, askers, out, held = None, {}, {}, [], 0
 
-        def settle():
-            if len(ids) > 1:
-                out.extend(kernel(ids, sets))
-            ids.clear(), sets.clear()
+        def settle() -> int:
+            found = partial_overlaps(list(members.values()), list(askers.values()), threshold)
+            out.extend(found)
+            members.clear(), askers.clear()
+            return sum(x.shape[1] for x in found)
+
+        def batch_out() -> pa.RecordBatch:
+            rows = np.concatenate(out, 1)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names)
 
         for batch in batches:
-            values = batch["shingles"].flatten().to_numpy().view(np.uint64)
-            offsets = np.asarray(batch["shingles"].offsets) - batch["shingles"].offsets[0].as_py()
-            for row, at in enumerate(zip(*(batch[c].to_pylist() for c in ("block", "i", "j")))):
-                if at != key:
-                    settle()
-                    key = at
-                ids.append(batch["doc_id"][row].as_py())
-                sets.append(values[offsets[row] : offsets[row + 1]].copy())
-            if len(out) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["u", "v"])
-                out.clear()
+            values = batch["part"].flatten().to_numpy().view(np.uint64)
+            offsets = np.asarray(batch["part"].offsets) - batch["part"].offsets[0].as_py()
+            columns = (batch[c].to_pylist() for c in ("block", "i", "j", "f", "vertex", "size", "rest", "asker"))
+            for row, (block, i, j, f, vertex, size, rest, asker) in enumerate(zip(*columns)):
+                if (block, i, j, f) != key:
+                    held += settle()
+                    key = block, i, j, f
+                # by vertex: a row that is there twice counts once
+                (askers if asker else members)[vertex] = (vertex, size, rest, values[offsets[row] : offsets[row + 1]].copy())
+            if held > 200_000:
+                yield batch_out()
+                held = 0
         settle()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["u", "v"])
+            yield batch_out()
 
     return over
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, node, shingles) of the documents in `wanted` (doc_id), and of a few more that the fixed-size filter lets through."""
+def parts_of(docs: DataFrame, wanted: DataFrame, fragments: int = FRAGMENTS) -> DataFrame:
+    """(doc_id, node, check, f, part): the sets, cut at the fragments' bounds, of the documents in `wanted` (doc_id), and of a few more that the fixed-size filter lets through."""
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1
     bits = wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     table = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -278,65 +339,121 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         part = np.frombuffer(r["bits"], np.uint8)
         table[(r["b"] - 1) * 4096 :][: len(part)] = part
     passes = docs.sparkSession.sparkContext.broadcast(table)
+    bounds = np.array([(f << 64) // fragments for f in range(1, fragments)], np.uint64)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = passes.value
         for batch in batches:
             places = batch["p"].to_numpy() - 1
             hit = np.flatnonzero(table[places >> 3] >> (places & 7).astype(np.uint8) & 1)
-            for part in np.array_split(hit, len(hit) // 64 + 1):
-                found = [shingles(batch["text"][i].as_py() or "") for i in part.tolist()]
-                keep = [k for k, s in enumerate(found) if len(s)]
-                if keep:
-                    ids = [batch["doc_id"][int(part[k])].as_py() for k in keep]
-                    lists = [signed(found[k]) for k in keep]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids, pa.int64()), pa.array([digest(found[k]) for k in keep], pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "node", "shingles"]
-                    )
+            for some in np.array_split(hit, len(hit) // 64 + 1):
+                rows = []
+                for i in some.tolist():
+                    found = shingles(batch["text"][i].as_py() or "")
+                    if len(found):
+                        key = (batch["doc_id"][i].as_py(), *digest(found))
+                        rows.extend((*key, f, signed(part)) for f, part in enumerate(np.split(found, np.searchsorted(found, bounds))) if len(part))
+                if rows:
+                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "node", "check", "f", "part"])
 
     ids = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", place.alias("p"))
-    return map_arrow(ids, kernel, "doc_id long, node long, shingles array<long>")
+    return map_arrow(ids, kernel, "doc_id long, node long, check long, f int, part array<long>")
 
 
-def links(docs: DataFrame, nodes: DataFrame, threshold: int = THRESHOLD, hot: int = HOT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """(u, v) of document ids: edges that connect the documents of each component. nodes: from nodes_of()."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = nodes.where("doc_id IS NOT NULL AND node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"))
-    blocks = components(candidate_links(docs, threshold, hot), "blocks")
-    members = first.join(blocks, "node").withColumnRenamed("root", "block")
-    load = members.groupBy("block").agg(F.sum("size").alias("load"))
-    members = members.join(load, "block").withColumn("chunks", F.ceil(F.col("load") / block_shingles).cast("int"))
-    members = materialize(members.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks").cast("long")).cast("int")), "members")
-    spread = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        F.col("doc_id").alias("_id"), F.col("node").alias("_node"), "block", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j")
-    )
-    sets = sets_of(docs, members.select("doc_id"))
-    dealt = (
-        sets.join(spread, (F.col("doc_id") == F.col("_id")) & (F.col("node") == F.col("_node")))
-        .select("block", "i", "j", "doc_id", "shingles")
-        .repartition(parts, "block", "i", "j")
-        .sortWithinPartitions("block", "i", "j", "doc_id")
+def _round(parts: DataFrame, askers: DataFrame, n: int, threshold: int) -> DataFrame:
+    """(u, v): links between askers and the members of their blocks.
+
+    parts: (block, chunk, chunks, f, vertex, size, part); askers: (vertex,
+    block, turn, turns), dealt in `turns` for each block.
+    """
+    who = askers.select(F.col("vertex").alias("_vertex"), "turn", "turns")
+    asked = askers.groupBy(F.col("block").alias("_block")).agg(F.max("turns").alias("_turns"))
+    theirs = parts.join(asked, F.col("block") == F.col("_block"))
+    flagged = theirs.join(who, F.col("vertex") == F.col("_vertex"), "left").withColumn("rest", F.col("_vertex").isNotNull())
+    common = ["block", "f", "vertex", "size", "rest", "part"]
+    members = flagged.select(*common, F.col("chunk").alias("i"), F.explode(F.sequence(F.lit(0), F.col("_turns") - 1)).alias("j"), F.lit(False).alias("asker"))
+    asking = flagged.where("rest").select(*common, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), F.col("turn").alias("j"), F.lit(True).alias("asker"))
+    order = ["block", "i", "j", "f"]
+    dealt = members.unionByName(asking).repartition(n, *order).sortWithinPartitions(*order)
+    counted = map_arrow(dealt, _by_fragment(threshold), COUNTED)
+    total = counted.groupBy("u", "v").agg(F.sum("partial").alias("o"), F.max("a").alias("a"), F.max("b").alias("b"))
+    return total.where(F.col("o") * 100 >= threshold * (F.col("a") + F.col("b") - F.col("o"))).select("u", "v")
+
+
+def links(docs: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: int = THRESHOLD, hot: int = HOT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(u, v) of vertices: edges that connect each component. nodes: from nodes_of(); sets: from vertices()."""
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    candidates = candidate_links(docs, common_shingles(nodes), threshold, hot)
+    blocks = components(candidates, "blocks")
+    degree = candidates.select(F.explode(F.array("u", "v")).alias("_node")).groupBy("_node").agg(F.count(F.lit(1)).alias("degree"))
+    found = sets.join(blocks.withColumnRenamed("root", "block").withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).join(degree, F.col("node") == F.col("_node"))
+    found = materialize(found.select("vertex", "doc_id", "node", "check", "size", "block", "degree"), "found")
+    discard(spark, candidates)
+    shape = found.groupBy(F.col("block").alias("_block")).agg(
+        F.ceil(F.sum("size") / block_shingles).cast("int").alias("chunks"), F.max_by("vertex", F.struct("degree", -F.col("vertex"))).alias("pivot")
     )
-    return map_arrow(dealt, _grouped(lambda ids, found: linked_sets(ids, found, threshold)), "u long, v long")
+    members = found.join(shape, F.col("block") == F.col("_block")).withColumn("chunk", F.pmod(F.xxhash64("vertex"), F.col("chunks").cast("long")).cast("int"))
+    members = materialize(members.drop("_block", "degree"), "members")
+    discard(spark, found)
+    cut = parts_of(docs, members.select("doc_id"))
+    own = members.select("vertex", F.col("doc_id").alias("_id"), F.col("node").alias("_node"), F.col("check").alias("_check"), "size", "block", "chunk", "chunks")
+    here = cut.join(own, (F.col("doc_id") == F.col("_id")) & (F.col("node") == F.col("_node")) & (F.col("check") == F.col("_check")))
+    parts = materialize(here.select("block", "chunk", "chunks", "f", "vertex", "size", "part"), "parts")
+
+    pivots = members.where("vertex = pivot").select("vertex", "block", F.lit(0).alias("turn"), F.lit(1).alias("turns"))
+    near = materialize(_round(parts, pivots, n, threshold), "near")
+    reached = near.select(F.explode(F.array("u", "v")).alias("_vertex")).distinct()
+    rest = members.where("vertex <> pivot").join(reached, F.col("vertex") == F.col("_vertex"), "left_anti")
+    loads = rest.groupBy(F.col("block").alias("_block")).agg(F.ceil(F.sum("size") / block_shingles).cast("int").alias("turns"))
+    askers = rest.join(loads, F.col("block") == F.col("_block")).select("vertex", "block", F.pmod(F.xxhash64("vertex", F.lit(1)), F.col("turns").cast("long")).cast("int").alias("turn"), "turns")
+    askers = materialize(askers, "askers")
+    far = materialize(_round(parts, askers, n, threshold), "far")
+    discard(spark, parts)
+    discard(spark, askers)
+    return near.unionByName(far)
+
+
+def vertices(nodes: DataFrame) -> DataFrame:
+    """(vertex, doc_id, node, check, size): the distinct sets, numbered, with their smallest doc_id."""
+    known = nodes.where("NOT common AND doc_id IS NOT NULL AND node IS NOT NULL")
+    sets = known.groupBy("node", "check", F.col("n_shingles").alias("size")).agg(F.min("doc_id").alias("doc_id"))
+    return materialize(sets.withColumn("vertex", F.monotonically_increasing_id()), "vertices")
+
+
+def grouped(docs: DataFrame, threshold: int = THRESHOLD, hot: int = HOT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(doc_id, mark, n_shingles, class) of every row; class is the component's smallest vertex, null for rows without doc_id or shingles."""
+    nodes = materialize(nodes_of(docs), "nodes")
+    sets = vertices(nodes)
+    roots = components(links(docs, nodes, sets, threshold, hot, block_shingles), "links")
+    named = sets.join(roots.withColumnRenamed("node", "_vertex"), F.col("vertex") == F.col("_vertex"), "left")
+    named = named.select(F.col("node").alias("_node"), F.col("check").alias("_check"), F.col("size").alias("_size"), F.coalesce("root", "vertex").alias("class"))
+    same = (F.col("node") == F.col("_node")) & (F.col("check") == F.col("_check")) & (F.col("n_shingles") == F.col("_size")) & F.col("doc_id").isNotNull()
+    return nodes.where("NOT common").join(named, same, "left").select("doc_id", "mark", "n_shingles", "class")
 
 
 def classes(docs: DataFrame, threshold: int = THRESHOLD, hot: int = HOT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    nodes = materialize(nodes_of(docs), "nodes")
-    roots = components(links(docs, nodes, threshold, hot, block_shingles), "links")
-    first = nodes.where("doc_id IS NOT NULL AND node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
-    of_node = first.join(roots.withColumnRenamed("node", "_n"), F.col("first") == F.col("_n"), "left")
-    of_node = of_node.select(F.col("node").alias("_node"), F.coalesce("root", "first").alias("_component"))
-    return nodes.join(of_node, F.col("node") == F.col("_node"), "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id")).alias("component_id")
-    )
+    rows = materialize(grouped(docs, threshold, hot, block_shingles), "classes")
+    least = rows.where("class IS NOT NULL").groupBy(F.col("class").alias("_class")).agg(F.min("doc_id").alias("_least"))
+    return rows.join(least, F.col("class") == F.col("_class"), "left").select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id. Rows without doc_id stay."""
-    keep = classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """One document of each component: the one with the smallest doc_id, and of several with that id the one with the smallest MD5 of its text.
+
+    A row that repeats doc_id and text is the same document; rows without
+    doc_id stay, and so do documents without shingles.
+    """
+    rows = materialize(grouped(docs), "classes")
+    first = rows.where("class IS NOT NULL").groupBy(F.col("class").alias("_class")).agg(F.min(F.struct("doc_id", "mark")).alias("_first"))
+    lost = rows.join(first, F.col("class") == F.col("_class")).where(F.struct("doc_id", "mark") != F.col("_first"))
+    mark, gone, gone_mark = fresh(docs, "mark", "gone", "gone_mark")
+    lost = lost.select(F.col("doc_id").alias(gone), F.col("mark").alias(gone_mark)).distinct()
+    named = docs.where("doc_id IS NOT NULL").withColumn(mark, F.md5(text_or_empty()))
+    kept = named.join(lost, (F.col("doc_id") == F.col(gone)) & (F.col(mark) == F.col(gone_mark)), "left_anti").dropDuplicates(["doc_id", mark])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL").select(*docs.columns))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,6 +66,52 @@ def test_against_all_pairs(spark, seed, hot, block):
     assert [r["component_id"] for r in found if r["doc_id"] is None] == [None]
 
 
+def test_rows_that_share_a_doc_id_are_not_mixed_up(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a, "p"), (1, b, "q"), (2, "c d e f g h", "r"), (3, a + " tail", "s"), (4, b + " tail", "t"), (1, a, "p"), (5, "", "u"), (6, None, "v"), (None, a, "w"), (None, a, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string").repartition(3)
+    found = jaccard_join.classes(docs).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found if r["doc_id"] is not None) == [(1, 1), (1, 1), (1, 1), (2, 2), (3, 1), (4, 1), (5, 5), (6, 6)]
+    kept = sorted((tuple(r) for r in jaccard_join.keep_one(docs).collect()), key=str)
+    assert kept == sorted([rows[0], rows[1], rows[2], rows[6], rows[7], rows[8], rows[9]], key=str)
+
+
+def test_fragments_add_up():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 300).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(300) < rng.choice([0, 0.02, 0.1, 0.15, 0.5]), rng.integers(0, 1 << 62, 300).astype(np.uint64), base)) for _ in range(60)]
+    asks = [k % 3 == 0 for k in range(60)]
+    bounds = [(f << 62) // 4 for f in range(1, 4)]
+    parts = [np.split(x, np.searchsorted(x, np.array(bounds, np.uint64))) for x in sets]
+    total = {}
+    for f in range(4):
+        rows = [(k, len(sets[k]), asks[k], parts[k][f]) for k in range(60)]
+        for block in jaccard_join.partial_overlaps(rows, [r for r in rows if r[2]]):
+            for u, v, n, a, b in block.T.tolist():
+                total[u, v] = total.get((u, v), 0) + n
+    found = {k for k, n in total.items() if 100 * n >= 80 * (len(sets[k[0]]) + len(sets[k[1]]) - n)}
+    want = set()
+    for u in range(60):
+        for v in range(60):
+            both = len(np.intersect1d(sets[u], sets[v]))
+            if u != v and asks[u] and (not asks[v] or u < v) and 100 * both >= 80 * (len(sets[u]) + len(sets[v]) - both):
+                want.add((u, v))
+    assert found == want and want
+
+
+def test_common_shingles_come_last(spark):
+    import numpy as np
+
+    common = (np.array([3, 5, 9], np.uint64), np.array([2, 0, 1]))
+    assert jaccard_join.in_global_order(np.array([1, 3, 4, 5, 9, 12], np.uint64), common).tolist() == [1, 4, 12, 5, 9, 3]
+    rows = [(i, "one two three four five " + " ".join(f"w{i}x{k}" for k in range(i % 9))) for i in range(60)]
+    nodes = jaccard_join.nodes_of(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).cache()
+    hashes, rank = jaccard_join.common_shingles(nodes)
+    assert jaccard_join.shingles("One two three four five")[0] == hashes[np.argmax(rank)]
+
+
 def test_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.classes(docs).count() == 0
