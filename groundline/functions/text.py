@@ -5,7 +5,7 @@ All patterns are Java regular expressions; offsets are code points from 0.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: how contracts write redactions and blanks
@@ -30,6 +30,15 @@ MONEY = (
 DUE_CUE = r"(?i)\b(?:on or before|no later than|by|until|due|prior to)\b"
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """`df` with more columns that are computed once for each row.
+
+    The optimizer puts a column's expression wherever the column is used, also
+    into functions of array elements; it doesn't look through a generator.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def occurrences(text: Column, pattern: str) -> Column:
     """array of (start, match) of all non-overlapping matches.
 
@@ -80,7 +89,7 @@ def status_of(quote: Column) -> Column:
 
 
 def dates(text: Column) -> Column:
-    """Array of (start, date) of calendar dates; those that no calendar has are left out."""
+    """Array of (start, date, end) of calendar dates; those that no calendar has are left out."""
 
     def read(match: Column, pattern: str, year: int, month: int, day: int) -> Column:
         word = F.regexp_extract(match, pattern, month)
@@ -90,7 +99,7 @@ def dates(text: Column) -> Column:
         return F.try_to_timestamp(parts, F.lit("yyyy-M-d")).cast("date")
 
     def form(pattern: str, *groups: int) -> Column:
-        return F.transform(occurrences(text, pattern), lambda o: F.struct(o["start"].alias("start"), read(o["match"], pattern, *groups).alias("date")))
+        return F.transform(occurrences(text, pattern), lambda o: F.struct(o["start"].alias("start"), read(o["match"], pattern, *groups).alias("date"), (o["start"] + F.length(o["match"])).alias("end")))
 
     # null isn't kept either
     return F.array_sort(F.filter(F.concat(*(form(*x) for x in DATES)), lambda d: d["date"] >= F.lit("0001-01-01").cast("date")))
@@ -113,12 +122,32 @@ def has_due_cue(text: Column, start: Column) -> Column:
     return F.substring(text, (low + 1).cast("int"), (start - low).cast("int")).rlike(DUE_CUE)
 
 
+# fixed values: a day count of one to three digits, and the words that tell its direction
+DAYS = r"(?U)(?<![0-9.,])[0-9]{1,3}(?![0-9.,])\s*\)?\s*(?:calendar\s+)?days?\b"
+LATER, EARLIER = r"(?i)\b(?:after|following|from|of)\b", r"(?iU)\b(?:before|prior\s+to)\b"
+
+
 def day_offsets(text: Column) -> Column:
     """Signed day counts; the direction is read in the 60 code points after, words of after winning."""
 
     def signed(o: Column) -> Column:
-        n = F.regexp_extract(o["match"], "[0-9]+", 0).cast("int")
+        n = F.regexp_extract(o["match"], "^[0-9]+", 0).cast("int")
         rest = F.substring(text, (o["start"] + F.length(o["match"]) + 1).cast("int"), F.lit(60))
-        return F.when(rest.rlike(r"(?i)\b(?:after|following|from)\b"), n).when(rest.rlike(r"(?i)\b(?:prior to|before)\b"), -n)
+        return F.when(rest.rlike(LATER), n).when(rest.rlike(EARLIER), -n)
+
+    return F.filter(F.transform(occurrences(text, DAYS), signed), lambda n: n.isNotNull())
+
+
+def first_at(text: Column, needle: Column, any_case: bool = False) -> Column:
+    """(start, end) in the text as it stands of the first place that equals the needle but for white space (and case); else null."""
+    stripped = F.regexp_replace(needle, r"(?U)^\s+|\s+$", "")
+    literal = F.regexp_replace(stripped, r"([\\\[\](){}.*+?^$|])", r"\\$1")
+    pattern = F.concat(F.lit("(?iuU)" if any_case else "(?U)"), F.regexp_replace(literal, r"(?U)\s+", r"\\s+"))
+    match = F.call_function("regexp_extract", text, pattern, F.lit(0))
+    start = (F.position(match, text) - 1).cast("long")
+    return F.when((stripped != "") & (match != ""), F.struct(start.alias("start"), (start + F.length(match)).alias("end")))
+
 
-    return F.filter(F.transform(occurrences(text, r"\b[0-9]+ days?\b"), signed), lambda n: n.isNotNull())
+def holds(text: Column, needle: Column, any_case: bool = False) -> Column:
+    """Whether first_at() finds the needle."""
+    return F.coalesce(first_at(text, needle, any_case).isNotNull(), F.lit(False))

@@ -36,27 +36,6 @@ def section_types(g: Graph, seen: DataFrame) -> DataFrame:
     return rows.groupBy("agreement_id", "section").agg(F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"))
 
 
-def shifted_dates(pairs: DataFrame) -> DataFrame:
-    """Pairs of quotes (id, old_quote, new_quote) with one date each that differ: the shift in days, else a reason."""
-    old, new = T.dates(F.col("old_quote")), T.dates(F.col("new_quote"))
-    before, after = F.get(old, F.lit(0))["date"], F.get(new, F.lit(0))["date"]
-    reason = F.when(F.size(old) != 1, "old_dates").when(F.size(new) != 1, "new_dates").when(before == after, "same_date")
-    return pairs.select("id", reason.alias("drop"), F.when(reason.isNull(), F.datediff(after, before)).alias("delta"))
-
-
-def price_changes(pairs: DataFrame) -> DataFrame:
-    """The claimed amount must be a token of the new quote."""
-    tokens = T.money(F.col("new_quote"))
-    ok = F.array_contains(tokens, F.col("claimed"))
-    return pairs.select("id", F.when(ok, F.col("claimed")).alias("cents"), F.when(ok, "USD").alias("currency"), F.when(~ok, "value_not_in_quote").alias("drop"))
-
-
-def role_word(text: Column, date_start: Column) -> Column:
-    """The nearest role word before a date."""
-    words = F.filter(T.occurrences(text, r"(?i)\b(?:due|expiration|commencement|delivery|pay)\b"), lambda o: o["start"] < date_start)
-    return F.lower(F.element_at(F.filter(words, lambda o: o["start"] == F.array_max(F.transform(words, lambda w: w["start"]))), 1)["match"])
-
-
 def first_of_key(findings: DataFrame) -> DataFrame:
     """Of findings with the same kind and spans the first stays, the others are dropped as duplicates."""
     at = F.row_number().over(Window.partitionBy("run_id", "kind", "new_ref", "old_ref").orderBy("finding_id"))

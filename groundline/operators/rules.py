@@ -23,28 +23,6 @@ GROUNDED = pa.schema(
 UNITS = ("days", "business days", "hours", "months")
 ITEM = "kind string, type string, amount double, due_date string, span string"
 ITEM_KEYS = ("amount", "due_date", "kind", "span", "type")
-# fixed values: the constructions of a timing clause, in order of precedence: (name, words before the count, words after it, relation, sign)
-CONSTRUCTIONS = (
-    ("within_business_days", r"within COUNT business days?", "lte", 0),
-    ("within_after", r"within COUNT UNIT (?:after|following|of|from) ", "lte", 1),
-    ("no_later_than_after", r"no later than COUNT UNIT (?:after|following) ", "lte", 1),
-    ("count_prior_to", r"(?:at least )?COUNT UNIT (?:prior to|before) ", "lte", -1),
-    ("on_or_before", r"on or (?:before|prior to) ", "lte", 0),
-    ("no_later_than", r"no later than ", "lte", 0),
-    ("prior_to", r"(?:prior to|before) ", "lt", 0),
-    ("upon", r"(?:immediately )?upon ", "eq", 0),
-    ("after", r"(?:promptly )?(?:after|following) ", "gt", 0),
-)
-TRIGGERS = (
-    ("invoice", "invoices?|bill|billing statement"),
-    ("notice", "notice|notification"),
-    ("demand", "demand|request"),
-    ("default", "default|failure|breach"),
-    ("completion", "completion|delivery"),
-    ("term_end", "expiration|termination|end of the term|surrender"),
-)
-
-
 def quotes(g: Graph) -> DataFrame:
     """Quotes laid over the lines: an amount in two forms, a timing clause in one of nine forms, a date in six, and sometimes a marker."""
     n = F.col("l_quantity").cast("int").cast("string")
@@ -73,74 +51,20 @@ def quotes(g: Graph) -> DataFrame:
 def verified_fields(q: DataFrame, claimed: Column | None = None) -> DataFrame:
     """Which claimed values the quote bears out. The claimed amount is right but where the id divides by 7."""
     claim = claimed if claimed is not None else F.col("cents") + F.when(F.col("id") % 7 == 0, 1).otherwise(0)
-    found, days = T.dates(F.col("quote")), T.day_offsets(F.col("quote"))
-    amount_ok = F.array_contains(T.money(F.col("quote")), claim)
-    due = F.filter(found, lambda d: T.has_due_cue(F.col("quote"), d["start"]))
-    due_ok = F.size(due) > 0
-    return q.select(
+    rows = T.once(q, _found=T.dates(F.col("quote")), _days=T.day_offsets(F.col("quote")), _money=T.money(F.col("quote")), _claim=claim)
+    rows = T.once(rows, _due=F.filter("_found", lambda d: T.has_due_cue(F.col("quote"), d["start"])))
+    amount_ok, due_ok, days = F.array_contains("_money", F.col("_claim")), F.size("_due") > 0, F.col("_days")
+    return rows.select(
         "id",
-        F.when(amount_ok, claim).alias("amount"),
+        F.when(amount_ok, F.col("_claim")).alias("amount"),
         F.when(amount_ok, "USD").alias("currency"),
-        F.when(due_ok, F.get(due, F.lit(0))["date"]).alias("due_date"),
+        F.when(due_ok, F.get("_due", F.lit(0))["date"]).alias("due_date"),
         F.when(~due_ok & (F.size(days) == 1), F.get(days, F.lit(0))).alias("offset_days"),
         T.status_of(F.col("quote")).alias("status"),
         F.array_join(F.array_compact(F.array(F.when(~amount_ok, F.lit("amount")), F.when(due_ok & (F.size(days) > 0), F.lit("offset_days")))), ",").alias("corrections"),
     )
 
 
-def _pattern(words: str) -> str:
-    return "(?i)\\b" + words.replace("COUNT", r"([0-9]+)").replace("UNIT", "(business days?|days?|hours?|months?)")
-
-
-def parsed_timing(q: DataFrame) -> DataFrame:
-    """Part of T02-T07: the first of nine constructions in order of precedence, its relation, signed count in digits, unit, trigger phrase and kind, and why it stays open.
-
-    README lists what is not built.
-    """
-    quote = F.col("quote")
-    fits = [(name, quote.rlike(_pattern(words) + r"(?=[^,;.]*[^\s,;.])"), words, relation, sign) for name, words, relation, sign in CONSTRUCTIONS]
-
-    def chosen(value) -> Column:
-        out = F.lit(None)
-        for fit in reversed(fits):
-            out = F.when(fit[1], value(*fit)).otherwise(out)
-        return out
-
-    count = chosen(lambda name, _, words, rel, sign: F.regexp_extract(quote, _pattern(words), 1).cast("int") if "COUNT" in words else F.lit(None).cast("int"))
-    unit = chosen(lambda name, _, words, rel, sign: F.regexp_extract(quote, _pattern(words), 2) if "UNIT" in words else F.lit("business days" if "COUNT" in words else None))
-    phrase = chosen(lambda name, _, words, rel, sign: F.regexp_extract(quote, _pattern(words) + r"([^,;.]*)", 1 + words.count("COUNT") + words.count("UNIT")))
-    sign = chosen(lambda name, _, words, rel, sign: F.lit(sign))
-    rows = q.select(
-        "*",
-        chosen(lambda name, *_: F.lit(name)).alias("construction"),
-        chosen(lambda name, _, words, rel, sign: F.lit(rel)).alias("relation"),
-        F.when(sign != 0, count * sign).alias("offset"),
-        unit.alias("unit_word"),
-        F.trim(phrase).alias("phrase"),
-    )
-    name = F.regexp_extract("phrase", r"^(?:the )?((?>(?:[A-Z0-9][A-Za-z0-9]* ){0,4}?Date\b)(?! ?[A-Z0-9]))", 1)
-    kind = F.when(name != "", "defined_event")
-    for label, words in TRIGGERS:
-        kind = kind.when(F.col("phrase").rlike(rf"(?i)\b(?:{words})\b"), label)
-    reason = (
-        F.when(quote.rlike(r"\[\*{3}\]"), "redacted_offset")
-        .when(F.col("unit_word").isin("hours", "months"), "unsupported_unit")
-        .when(F.col("unit_word") == "business days", "business_days")
-    )
-    return rows.select("id", "construction", "relation", "offset", "phrase", kind.otherwise("other_event").alias("trigger_kind"), reason.alias("reason"), "agreement_id", F.when(name != "", name).alias("bound_name"))
-
-
-def resolved_timing(parsed: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Anchors (agreement_id, date) may be several; one distinct date schedules, more conflict, none leaves a defined event open."""
-    dated = anchors.groupBy(F.col("agreement_id").alias("_a")).agg(F.count_distinct("date").alias("_n"), F.min("date").alias("_date"))
-    rows = parsed.join(dated, F.col("agreement_id") == F.col("_a"), "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
-    defined = F.col("bound_name").isNotNull()
-    reason = F.coalesce("reason", F.when(defined & (F.col("_n") > 1), "conflicting_dates").when(defined & (F.col("_n") == 0), "anchor_without_date"))
-    kind = F.when(F.col("construction").isNull(), "untimed").when(reason.isNotNull(), "unresolved").when(defined & ~F.col("relation").isin("gt", "gte"), "scheduled").otherwise("contingent")
-    rows = rows.withColumn("kind", kind).withColumn("why", F.when(kind == "unresolved", reason))
-    return rows.select("id", "kind", "why", F.when(F.col("kind") == "scheduled", F.date_add("_date", F.coalesce("offset", F.lit(0)))).alias("bound"))
-
-
 def parsed_responses(raw: DataFrame) -> DataFrame:
     """Responses (id, stop, body) to a typed outcome; an item needs exactly the known keys and sound values."""
     item = F.from_json("body", ITEM)
@@ -311,16 +235,3 @@ def passages(benchmark: DataFrame, docs: DataFrame, words: int = 4) -> DataFrame
         full = pairs.distinct().join(rows, "doc_id").join(keyed.select("item_id", "passage"), "item_id")
         out.append(full.withColumn("char_start", place).where("char_start >= 0").select("item_id", "doc_id", "char_start"))
     return reduce(DataFrame.unionByName, out)
-
-
-def drops_by_reason(items: DataFrame) -> DataFrame:
-    """V01, V18, and of V02 an unknown segment only: proposals (id, kind, type, segment) to the first reason for a drop, counted."""
-    reason = (
-        F.when(~F.col("kind").isin("obligation", "event", "party"), "bad_enum:kind")
-        .when((F.col("kind") == "obligation") & F.col("type").isNull(), "missing_field:type")
-        .when((F.col("kind") == "obligation") & ~F.col("type").rlike("^t[0-8]$"), "bad_enum:type")
-        .when(F.col("segment").isNull(), "unknown_segment")
-        .otherwise("verified")
-    )
-    counts = items.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("items"))
-    return counts.select("reason", "items")

@@ -12,7 +12,6 @@ EXTRA = (
     VIEWS
     | TEXT
     | {
-        "couple": "SELECT a.id, a.dated AS od, b.dated AS nd, CAST(a.l_shipdate AS DATE) AS odate, CAST(b.l_shipdate AS DATE) AS ndate, a.cents AS oc, b.cents AS nc FROM q a JOIN q b ON b.id = a.id + 1",
         "sect": "SELECT c.agreement_id, c.section, string_agg(DISTINCT o.type, ',' ORDER BY o.type) AS types FROM clause_ref c JOIN obligation o ON o.id = c.obligation_id WHERE c.grounded GROUP BY ALL",
         "gate": """
 SELECT run_id, n - 1 AS category, CASE WHEN l_returnflag = 'R' THEN 1 WHEN l_returnflag = 'A' THEN 0 END AS s1, CASE WHEN l_suppkey % 3 < 2 THEN l_suppkey % 3 END AS s2,
@@ -53,8 +52,9 @@ LEX = {
 
 ORACLES = {
     "c11_targets": (
-        "SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 1 THEN 'Exhibit' ELSE 'Section' END AS kind, CASE c_custkey % 4 WHEN 0 THEN (c_custkey % 9) || '.1' WHEN 1 THEN 'B' ELSE '3' END AS part, "
-        "CAST(NULL AS VARCHAR) AS parent, CASE WHEN c_custkey % 4 < 2 THEN 'base' END AS doc, CASE c_custkey % 4 WHEN 0 THEN 'section' WHEN 1 THEN 'range' ELSE 'not_in_corpus' END AS resolution FROM customer WHERE c_custkey % 4 < 3"
+        "SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 1 THEN 'Exhibit' ELSE 'Section' END AS kind, CASE c_custkey % 4 WHEN 0 THEN (c_custkey % 9) || '.1' WHEN 1 THEN 'B' ELSE '3' END AS part, CAST(NULL AS VARCHAR) AS parent, "
+        "CASE WHEN c_custkey % 4 < 2 THEN CAST(1 AS BIGINT) END AS doc, CASE c_custkey % 4 WHEN 0 THEN 'Section ' || (c_custkey % 9) || '.1 of the Original Lease' WHEN 1 THEN 'Exhibit “B” to the Lease' ELSE 'Section 3 of the OS Rider' END AS label "
+        "FROM customer WHERE c_custkey % 4 < 3"
     ),
     "v10_mentioned": "SELECT c_custkey AS id, c_custkey % 2 = 1 OR c_custkey % 4 = 0 AS found FROM customer",
     "v13_declared_dates": "SELECT c_custkey AS id, CASE WHEN c_custkey % 4 <> 2 THEN DATE '2010-01-01' + CAST(c_custkey % 3000 AS INT) END AS date FROM customer",
@@ -63,17 +63,12 @@ ORACLES = {
     "c02_current_extraction": sql("SELECT agreement_id, max(run) AS run, arg_max(prompt, run) AS prompt FROM extr GROUP BY agreement_id"),
     "c03_base_first": sql("SELECT agreement_id, CAST(CASE WHEN base_agreement_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS depth FROM agreement"),
     "c04_section_types": sql("SELECT * FROM sect"),
-    "c07_shifted_dates": sql("SELECT id, CASE WHEN NOT od THEN 'old_dates' WHEN NOT nd THEN 'new_dates' WHEN odate = ndate THEN 'same_date' END AS \"drop\", CASE WHEN od AND nd AND odate <> ndate THEN CAST(ndate - odate AS INT) END AS delta FROM couple"),
-    "c08_role_word": sql("SELECT id, 'due' AS role FROM q WHERE dated"),
-    "c09_price_changes": sql(
-        "SELECT id, CASE WHEN id % 3 <> 0 OR oc = nc THEN nc END AS cents, CASE WHEN id % 3 <> 0 OR oc = nc THEN 'USD' END AS currency, CASE WHEN id % 3 = 0 AND oc <> nc THEN 'value_not_in_quote' END AS \"drop\" FROM couple"
-    ),
     "c12_first_of_key": sql("SELECT CASE WHEN n = 1 THEN 'kept' ELSE 'duplicate' END AS outcome, count(*) AS findings FROM (SELECT row_number() OVER (PARTITION BY run_id, kind, new_ref, old_ref ORDER BY finding_id) AS n FROM finding) GROUP BY 1"),
     "c14_supersession_edges": sql("SELECT * FROM edge"),
     "c16_costs": sql("SELECT l_orderkey AS run, CASE WHEN count(*) FILTER (WHERE l_suppkey % 40 = 39) = 0 THEN CAST(sum(CAST(l_quantity AS BIGINT) * (l_suppkey % 40 + 1)) AS BIGINT) END AS cost, count(*) AS attempts FROM line GROUP BY l_orderkey"),
     "ga01_lexicon_hits": sql(" UNION ALL ".join(f"SELECT id, {k[1:].split(',')[0]} AS category, {k[1:-1].split(', ')[1]} AS word FROM q WHERE {v}" for k, v in LEX.items())),
     "ga02_section_references": sql(
-        "SELECT o.id, s.section, s.types FROM (SELECT id, base_agreement_id, unnest([id % 7, supplier % 7]) AS section FROM obligation WHERE base_agreement_id IS NOT NULL AND id % 4 = 0) o "
+        "SELECT o.id, s.section, s.types FROM (SELECT id, base_agreement_id, unnest([id % 7, supplier % 7]) AS section FROM obligation WHERE base_agreement_id IS NOT NULL) o "
         "JOIN sect s ON s.agreement_id = o.base_agreement_id AND s.section = o.section"
     ),
     "ga03_signature_lines": sql("SELECT doc_id, at, at % 20 BETWEEN 6 AND 10 AS signature FROM seg"),

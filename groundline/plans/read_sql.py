@@ -52,7 +52,7 @@ ORACLES = {
     "q16_window_unresolved": sql("SELECT " + UNBOUND + f" AS unresolved FROM seen_obligation o WHERE lifecycle = 'pending' OR (lifecycle = 'scheduled' AND {WINDOW})"),
     "q17_resolve_document": (
         "WITH c AS (SELECT c_custkey AS doc, 'd' || c_custkey AS doc_key, 'data/' || c_mktsegment || '/' || (c_custkey % 500) AS path, CAST(c_custkey % 700 AS VARCHAR) AS name, sha256(c_name) AS digest FROM customer), "
-        "w AS (SELECT DISTINCT unnest([doc_key, path, name, digest, 'none' || doc]) AS text FROM c WHERE doc % 10 = 0), "
+        "w AS (SELECT DISTINCT unnest([doc_key, path, name, digest, 'none' || doc]) AS text FROM c), "
         "h AS (SELECT w.text, s.step, count(*) AS n, min(s.doc) AS doc FROM w JOIN (SELECT doc, doc_key AS key, 0 AS step FROM c UNION ALL SELECT doc, path, 1 FROM c "
         "UNION ALL SELECT doc, name, 2 FROM c UNION ALL SELECT doc, digest, 3 FROM c) s ON s.key = w.text GROUP BY ALL) "
         "SELECT w.text, CASE WHEN h.n = 1 THEN h.doc END AS doc, CAST(h.step AS BIGINT) AS step FROM w LEFT JOIN h ON h.text = w.text AND h.step = (SELECT min(step) FROM h i WHERE i.text = w.text)"

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from groundline.functions import numbers
 from groundline.functions import text as T
-from groundline.operators import binding, change, ingest, metrics, read, rules, snapshot, views
-from groundline.plans import change_sql, read_sql, text_sql, views_sql
+from groundline.operators import binding, change, findings, ingest, metrics, proposals, read, rules, snapshot, timing, views
+from groundline.plans import change_sql, fixtures, read_sql, text_sql, views_sql
+from groundline.operators.lookup import holding
 from groundline.plans.overlay import Graph
 
 
@@ -58,7 +60,7 @@ def _documents_to_resolve(g: Graph) -> DataFrame:
         (F.col("c_custkey") % 700).cast("string").alias("name"),
         F.sha2("c_name", 256).alias("digest"),
     )
-    wanted = c.where("doc % 10 = 0").select(F.explode(F.array("doc_key", "path", "name", "digest", F.concat(F.lit("none"), F.col("doc").cast("string")))).alias("text")).distinct()
+    wanted = c.select(F.explode(F.array("doc_key", "path", "name", "digest", F.concat(F.lit("none"), F.col("doc").cast("string")))).alias("text")).distinct()
     return read.resolve_document(c, wanted)
 
 
@@ -140,22 +142,37 @@ def _responses(g: Graph) -> DataFrame:
     )
 
 
-def _proposals(g: Graph) -> DataFrame:
-    return g.line.select(
-        "id",
-        F.when(F.col("l_partkey") % 10 == 0, "clause").when(F.col("l_partkey") % 10 == 1, "event").otherwise("obligation").alias("kind"),
-        F.when(F.col("l_suppkey") % 8 != 0, F.concat(F.lit("t"), F.col("l_suppkey") % 11)).alias("type"),
-        F.when(F.col("l_linenumber") % 5 != 0, F.col("l_linenumber")).alias("segment"),
-    )
+def _offsets(g: Graph) -> DataFrame:
+    found = g.table("documents").select("doc_id", F.posexplode(T.occurrences(F.col("text"), "License|[*#%]{3}|the [a-z]+")).alias("n", "o"))
+    return found.select("doc_id", F.col("n").cast("long").alias("n"), F.col("o.start").alias("char_start"), F.col("o.match").alias("match"))
 
 
-def _anchors(g: Graph) -> DataFrame:
-    return g.line.where("l_suppkey % 3 = 0").select(F.col("l_orderkey").alias("agreement_id"), F.to_date(F.date_trunc("year", "l_shipdate")).alias("date"))
+def _contracts(relation: str, *columns: str) -> Callable[[SparkSession, str], DataFrame]:
+    return _graph(lambda g: getattr(fixtures.Contracts(g), relation), *columns)
 
 
-def _offsets(g: Graph) -> DataFrame:
-    found = g.table("documents").select("doc_id", F.posexplode(T.occurrences(F.col("text"), "License|[*#%]{3}|the [a-z]+")).alias("n", "o"))
-    return found.select("doc_id", F.col("n").cast("long").alias("n"), F.col("o.start").alias("char_start"), F.col("o.match").alias("match"))
+def _of_kind(kind: str, *columns: str) -> Callable[[SparkSession, str], DataFrame]:
+    return _graph(lambda g: fixtures.Contracts(g).verified.where(F.col("kind") == kind), "finding", "outcome", *columns)
+
+
+def _lookups(g: Graph) -> DataFrame:
+    """Which line and page of its document hold every 40th offset, counted from 7."""
+    lines = _lines(g)
+    ends = lines.groupBy("doc_id").agg(F.max("char_end").alias("total"))
+    points = ends.select("doc_id", F.explode(F.expr("sequence(7L, total + 40, 40L)")).alias("offset"))
+    found = holding(points, lines.select("doc_id", "char_start", "char_end", F.col("at").alias("segment")), "segment")
+    return holding(found, ingest.pages(lines), "page")
+
+
+def _spelled(g: Graph) -> DataFrame:
+    n = g.spark.range(1, numbers.SPELLED_MAX + 1).select(F.col("id").cast("int").alias("n"))
+    words = numbers.in_words(F.col("n"))
+    return n.select("n", words.alias("words"), numbers.from_words(words).alias("back"))
+
+
+def _formats(g: Graph) -> DataFrame:
+    share = F.when(F.col("l_linenumber") != 3, F.col("l_linenumber") / 8)
+    return g.line.select("id", numbers.percent(share).alias("percent"), numbers.dollars(share).alias("dollars"), numbers.ratio(share).alias("ratio"))
 
 
 TEXT = {
@@ -176,23 +193,21 @@ TEXT = {
     "i15_defined_terms": _graph(lambda g: ingest.defined_terms(_term_quotes(g))),
     "i16_chunks": _graph(lambda g: ingest.chunks(_marked(g))),
     "e01_responses": _graph(lambda g: rules.parsed_responses(_responses(g))),
-    "v01_drops": _graph(lambda g: rules.drops_by_reason(_proposals(g))),
+    "v17_verified": _contracts("judged", "item", "kind", "outcome", "corrections", "cents", "due", "offset_days", "date", "trigger"),
+    "v18_rates": _graph(lambda g: proposals.rates(fixtures.Contracts(g).judged)),
+    "v18_reasons": _graph(lambda g: proposals.dropped_and_corrected(fixtures.Contracts(g).judged)),
+    "i13_lookups": _graph(_lookups),
     "v04_money": _graph(lambda g: rules.quotes(g).select("id", F.get(T.money(F.col("quote")), F.lit(0)).alias("cents"), F.size(T.money(F.col("quote"))).cast("long").alias("n"))),
     "v05_verified_fields": _graph(lambda g: rules.verified_fields(rules.quotes(g))),
-    "t02_parsed_timing": _graph(lambda g: rules.parsed_timing(rules.quotes(g)), "id", "construction", "relation", "offset", "trigger_kind", "reason", "bound_name"),
-    "t10_resolved_timing": _graph(lambda g: rules.resolved_timing(rules.parsed_timing(rules.quotes(g)), _anchors(g))),
+    "t02_parsed_timing": _graph(lambda g: timing.parsed(fixtures.timed_quotes(g)), "id", "construction", "relation", "offset", "unit", "trigger_kind", "bound_name", "reason"),
+    "t10_resolved_timing": _graph(lambda g: timing.resolved(timing.parsed(fixtures.timed_quotes(g)), timing.anchor_candidates(fixtures.anchors(g), g.agreement))),
+    "f06_spelled": _graph(_spelled),
+    "f11_formats": _graph(_formats),
 }
 
 
-def _pairs(g: Graph) -> DataFrame:
-    """Quotes of consecutive obligations of an agreement."""
-    q = rules.quotes(g)
-    new = q.select((F.col("id") - 1).alias("id"), F.col("quote").alias("new_quote"), F.col("cents").alias("new_cents"))
-    return q.select("id", F.col("quote").alias("old_quote"), F.col("cents").alias("old_cents")).join(new, "id").withColumn("claimed", F.when(F.col("id") % 3 == 0, F.col("old_cents")).otherwise(F.col("new_cents")))
-
-
 def _section_quotes(g: Graph) -> DataFrame:
-    rows = g.obligation.where("base_agreement_id IS NOT NULL AND id % 4 = 0")
+    rows = g.obligation.where("base_agreement_id IS NOT NULL")
     a, b = (F.col("id") % 7).cast("string"), (F.col("supplier") % 7).cast("string")
     return rows.select("id", F.col("base_agreement_id").alias("base_id"), F.concat(F.lit("As in Sections "), a, F.lit(" and "), b, F.lit(" of the Original Lease, and Section 9 of it.")).alias("quote"))
 
@@ -294,7 +309,7 @@ def _budget(g: Graph) -> DataFrame:
 
 def _statements(g: Graph) -> DataFrame:
     """One statement about each customer in one of four forms, and one about a date."""
-    form, name = F.col("c_custkey") % 4, F.col("c_name")
+    form, name = F.col("c_custkey") % 4, F.replace("c_name", F.lit("#"), F.lit(" "))
     date = F.date_format(F.date_add(F.to_date(F.lit("2010-01-01")), (F.col("c_custkey") % 3000).cast("int")), "MMMM d, yyyy")
     quote = (
         F.when(form == 0, F.concat(F.lit("between Landlord "), name, F.lit(" and others")))
@@ -313,8 +328,9 @@ def _statements(g: Graph) -> DataFrame:
 
 
 def _targets(g: Graph) -> DataFrame:
-    aliases = g.spark.createDataFrame([("Original Lease", "base"), ("Lease", "base"), ("OS Rider", None)], "alias string, doc string")
-    return binding.targets(_statements(g).select("id", F.col("target").alias("quote")), aliases)
+    aliases = F.array(*(F.struct(F.lit(a).alias("alias"), F.lit(d).cast("long").alias("doc")) for a, d in (("Original Lease", 1), ("Lease", 1), ("OS Rider", None))))
+    rows = T.once(_statements(g), r=findings.reference(F.col("target"), aliases, F.lit(1).cast("long")))
+    return rows.where("r IS NOT NULL").select("id", "r.kind", "r.part", "r.parent", "r.doc", "r.label")
 
 
 CHANGE = {
@@ -326,9 +342,12 @@ CHANGE = {
     "c02_current_extraction": _graph(lambda g: change.current_extraction(_runs(g))),
     "c03_base_first": _graph(lambda g: change.base_first(g.agreement)),
     "c04_section_types": _graph(lambda g: change.section_types(g, views.grounded_obligation(g))),
-    "c07_shifted_dates": _graph(lambda g: change.shifted_dates(_pairs(g))),
-    "c08_role_word": _graph(lambda g: rules.quotes(g).where("dated").select("id", change.role_word(F.col("quote"), F.get(T.dates(F.col("quote")), F.lit(0))["start"]).alias("role"))),
-    "c09_price_changes": _graph(lambda g: change.price_changes(_pairs(g))),
+    "c05_verified_findings": _contracts("verified", "finding", "run_id", "kind", "outcome", "correction", "label", "resolution", "old_origin", "new_value", "delta"),
+    "c05_outcomes": _graph(lambda g: findings.outcomes(fixtures.Contracts(g).verified)),
+    "c06_supersedes": _of_kind("supersedes", "label", "resolution"),
+    "c07_shifted_dates": _of_kind("shifted_date", "new_value", "delta"),
+    "c09_price_changes": _of_kind("price_change", "new_value", "currency"),
+    "c10_potential_conflicts": _of_kind("potential_conflict", "old_origin"),
     "c12_first_of_key": _graph(lambda g: change.first_of_key(g.finding)),
     "c14_supersession_edges": _graph(views.supersession_edges),
     "c16_costs": _graph(lambda g: metrics.costs(_attempts(g), _tariff(g))),
@@ -368,4 +387,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {**views_sql.ORACLES, **read_sql.ORACLES, **text_sql.ORACLES, **change_sql.ORACLES}
+    return {**views_sql.ORACLES, **read_sql.ORACLES, **text_sql.ORACLES, **change_sql.ORACLES, **fixtures.ORACLES}

@@ -25,17 +25,6 @@ FROM seg""",
 SELECT *, id % 9 AS form, CAST(l_quantity AS INT) AS n, l_partkey % 4 AS unit, l_suppkey % 6 AS event, l_partkey % 11 AS marked,
        CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, l_linenumber % 2 = 0 AS dated
 FROM line""",
-    "timed": """
-SELECT id, l_orderkey AS agreement_id,
-       CASE WHEN form = 0 THEN 'within_business_days' WHEN form = 1 AND unit = 1 THEN 'within_business_days' WHEN form = 1 THEN 'within_after' WHEN form = 2 THEN 'no_later_than_after'
-            WHEN form = 3 THEN 'count_prior_to' WHEN form = 4 THEN 'on_or_before' WHEN form = 5 THEN 'no_later_than' WHEN form = 6 THEN 'prior_to' WHEN form = 7 THEN 'upon' ELSE 'after' END AS construction,
-       CASE WHEN form <= 5 THEN 'lte' WHEN form = 6 THEN 'lt' WHEN form = 7 THEN 'eq' ELSE 'gt' END AS relation,
-       CASE WHEN form = 1 AND unit <> 1 OR form = 2 THEN n WHEN form = 3 THEN -n END AS "offset",
-       CASE WHEN event = 0 AND (form = 0 OR form = 1 AND unit = 1) THEN 'other_event' WHEN event = 0 THEN 'defined_event' WHEN event = 1 THEN 'invoice' WHEN event = 2 THEN 'notice' WHEN event = 3 THEN 'completion' WHEN event = 4 THEN 'term_end' ELSE 'other_event' END AS trigger_kind,
-       CASE WHEN marked = 0 THEN 'redacted_offset' WHEN form IN (1, 2, 3) AND unit IN (2, 3) THEN 'unsupported_unit' WHEN form = 0 OR form IN (1, 2, 3) AND unit = 1 THEN 'business_days' END AS reason,
-       CASE WHEN event = 0 AND NOT (form = 0 OR form = 1 AND unit = 1) THEN 'Commencement Date' END AS bound_name
-FROM q""",
-    "anchor": "SELECT l_orderkey AS agreement_id, count(DISTINCT date_trunc('year', l_shipdate)) AS n, min(CAST(date_trunc('year', l_shipdate) AS DATE)) AS date FROM lineitem WHERE l_suppkey % 3 = 0 GROUP BY 1",
 }
 
 
@@ -79,21 +68,26 @@ ORACLES = {
         "SELECT id, CASE l_partkey % 7 WHEN 0 THEN 'refused' WHEN 1 THEN 'truncated' WHEN 2 THEN 'not_json' WHEN 3 THEN 'bad_keys' WHEN 4 THEN 'bad_value' ELSE 'ok' END AS outcome, "
         "CASE WHEN l_partkey % 7 > 4 THEN 't' || (l_partkey % 9) END AS type FROM line"
     ),
-    "v01_drops": (
-        "SELECT CASE WHEN l_partkey % 10 = 0 THEN 'bad_enum:kind' WHEN l_partkey % 10 > 1 AND l_suppkey % 8 = 0 THEN 'missing_field:type' WHEN l_partkey % 10 > 1 AND l_suppkey % 11 > 8 THEN 'bad_enum:type' "
-        "WHEN l_linenumber % 5 = 0 THEN 'unknown_segment' ELSE 'verified' END AS reason, count(*) AS items FROM lineitem GROUP BY 1"
-    ),
     "v04_money": sql("SELECT id, cents, CAST(1 AS BIGINT) AS n FROM q"),
     "v05_verified_fields": sql(
         "SELECT id, CASE WHEN id % 7 <> 0 THEN cents END AS amount, CASE WHEN id % 7 <> 0 THEN 'USD' END AS currency, CASE WHEN dated THEN CAST(l_shipdate AS DATE) END AS due_date, "
-        "CASE WHEN NOT dated AND unit = 0 AND form IN (1, 2) THEN n WHEN NOT dated AND unit = 0 AND form = 3 THEN -n END AS offset_days, "
+        "CASE WHEN NOT dated AND unit = 0 AND form IN (1, 2) THEN n WHEN NOT dated AND unit = 0 AND form = 3 THEN CASE WHEN event IN (1, 4) THEN n ELSE -n END END AS offset_days, "
         "CASE marked WHEN 0 THEN 'redacted' WHEN 1 THEN 'blank' ELSE 'active' END AS status, "
         "concat_ws(',', CASE WHEN id % 7 = 0 THEN 'amount' END, CASE WHEN dated AND unit = 0 AND form IN (1, 2, 3) THEN 'offset_days' END) AS corrections FROM q"
     ),
-    "t02_parsed_timing": sql('SELECT id, construction, relation, "offset", trigger_kind, reason, bound_name FROM timed'),
-    "t10_resolved_timing": sql(
-        "SELECT id, kind, CASE WHEN kind = 'unresolved' THEN coalesce(reason, CASE WHEN n > 1 THEN 'conflicting_dates' ELSE 'anchor_without_date' END) END AS why, CASE WHEN kind = 'scheduled' THEN date + coalesce(\"offset\", 0) END AS bound FROM ("
-        "SELECT t.*, a.n, a.date, CASE WHEN reason IS NOT NULL THEN 'unresolved' WHEN bound_name IS NULL THEN 'contingent' WHEN coalesce(a.n, 0) <> 1 THEN 'unresolved' WHEN relation = 'gt' THEN 'contingent' ELSE 'scheduled' END AS kind "
-        "FROM timed t LEFT JOIN anchor a ON a.agreement_id = t.agreement_id)"
+    "i13_lookups": sql(
+        "SELECT p.doc_id, p.pos AS \"offset\", CASE WHEN pos < s.char_start + length(s.span) THEN s.at END AS segment, CASE WHEN pos < total THEN s.at // 40 + 1 END AS page "
+        "FROM (SELECT doc_id, unnest(generate_series(7, total + 40, 40)) AS pos, total FROM (SELECT doc_id, max(char_start + length(span)) AS total FROM seg GROUP BY doc_id)) p "
+        "ASOF LEFT JOIN seg s ON s.doc_id = p.doc_id AND p.pos >= s.char_start"
+    ),
+    "f06_spelled": (
+        "WITH w AS (SELECT ['one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten', 'eleven', 'twelve', 'thirteen', 'fourteen', 'fifteen', 'sixteen', 'seventeen', 'eighteen', 'nineteen'] AS ones, "
+        "['twenty', 'thirty', 'forty', 'fifty', 'sixty', 'seventy', 'eighty', 'ninety'] AS tens), "
+        "s AS (SELECT n, n % 100 AS r, ones, tens FROM (SELECT unnest(range(1, 121)) AS n), w) "
+        "SELECT CAST(n AS INT) AS n, CAST(n AS INT) AS back, trim(CASE WHEN n > 99 THEN 'one hundred ' ELSE '' END || CASE WHEN r = 0 THEN '' WHEN r < 20 THEN ones[r] WHEN r % 10 = 0 THEN tens[r // 10 - 1] ELSE tens[r // 10 - 1] || '-' || ones[r % 10] END) AS words FROM s"
+    ),
+    "f11_formats": sql(
+        "SELECT id, CASE WHEN l_linenumber = 3 THEN '-' ELSE format('{:.1f}%', l_linenumber * 12.5) END AS percent, CASE WHEN l_linenumber = 3 THEN '-' ELSE format('{:.4f}', l_linenumber / 8) END AS dollars, "
+        "CASE WHEN l_linenumber = 3 THEN '-' ELSE format('{:.3f}', l_linenumber / 8) END AS ratio FROM line"
     ),
 }

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, app: str = "groundline", memory: str = "12g", **conf: str) -> SparkSession:
@@ -26,3 +30,23 @@ def local_session(cores: int = 8, app: str = "groundline", memory: str = "12g",
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the tables below `sf_dir`."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one for a local session that names none."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="groundline-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Write `df` to the shared folder, bucketed and sorted by `key`, and read it back: joins and groups by the key need no shuffle."""
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).format("parquet")
+    writer.option("path", f"{shared_folder(spark)}/groundline/{table}").saveAsTable(table)
+    return spark.table(table)

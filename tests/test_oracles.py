@@ -51,7 +51,17 @@ def test_plans_have_no_product(spark, name):
 
 def test_filters_and_columns_reach_the_scan(spark):
     plan = registry.queries()["d12_event_binding"](spark, str(SF))._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<o_orderkey:bigint,o_orderdate:timestamp" in plan
+    assert "ReadSchema: struct<agreement_id:bigint,event_date:date" in plan and "l_" not in plan
+
+
+def exchanges(spark, name):
+    return registry.queries()[name](spark, str(SF))._jdf.queryExecution().sparkPlan().toString(), registry.queries()[name](spark, str(SF))._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_views_read_the_written_graph(spark):
+    for name, most in (("d05_visible_obligation", 8), ("q13_due_window", 10), ("c05_verified_findings", 0)):
+        plan, n = exchanges(spark, name)
+        assert n <= most, (name, n)
 
 
 def test_nothing_else_imports_llm():

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundline.functions import text as T
-from groundline.operators import change, ingest, metrics, read, rules, snapshot
+from groundline.operators import change, ingest, metrics, read, rules, snapshot, timing
 
 
 def one(spark, text, f):
@@ -45,16 +45,48 @@ def test_timing_precedence(spark):
     rows = [
         (1, "within 10 days after the Commencement Date", "within_after", 10, "defined_event", None),
         (2, "no later than 30 business days after notice", "no_later_than_after", 30, "notice", "business_days"),
-        (3, "at least 5 months prior to delivery", "count_prior_to", -5, "completion", "unsupported_unit"),
+        (3, "at least five (5) months prior to delivery", "count_prior_to", -5, "completion", "unsupported_unit"),
         (4, "upon the Commencement Date Extension Date", "upon", None, "other_event", None),
-        (5, "no words of time", None, None, "other_event", None),
-        (6, "upon .", None, None, "other_event", None),
-        (7, "within [***] days after notice", "after", None, "notice", "redacted_offset"),
+        (5, "no words of time", None, None, None, None),
+        (6, "upon .", None, None, None, None),
+        (7, "within [***] days after notice", "within_after", None, "notice", "redacted_offset"),
+        (8, "Pay promptly", None, None, None, "anchor_not_found"),
+        (9, "WITHIN ONE HUNDRED\u00a0TWENTY DAYS OF DEMAND", "within_after", 120, "demand", None),
+        (10, "2.1 If it rains, pay upon demand, not before", "upon", None, "demand", None),
+        (11, "If it rains upon demand, pay", "upon", None, "demand", "conditional_or_compound"),
     ]
     frame = spark.createDataFrame([(i, q, 1) for i, q, *_ in rows], "id long, quote string, agreement_id long")
-    found = {r["id"]: r for r in rules.parsed_timing(frame).collect()}
-    for i, _, construction, offset, kind, reason in rows:
-        assert (found[i]["construction"], found[i]["offset"], found[i]["trigger_kind"], found[i]["reason"]) == (construction, offset, kind, reason), i
+    found = {r["id"]: r for r in timing.parsed(frame).collect()}
+    for i, quote, construction, offset, kind, reason in rows:
+        r = found[i]
+        assert (r["construction"], r["offset"], r["trigger_kind"], r["reason"]) == (construction, offset, kind, reason), i
+        assert construction is None or quote[r["trigger_start"] : r["trigger_end"]].strip(), i
+    assert quote_of(found[1]) == rows[0][1] and found[10]["trigger_start"] == 21
+
+
+def quote_of(r):
+    return r["quote"][r["trigger_start"] : r["trigger_end"]]
+
+
+def test_anchors_of_the_base_count(spark):
+    agreements = spark.createDataFrame([(1, None), (2, 1), (3, 1)], "agreement_id long, base_agreement_id long")
+    events = spark.createDataFrame([(1, "Start  Date", dt.date(2020, 1, 1)), (2, "Start Date", dt.date(2020, 2, 1)), (3, "End Date", None)], "agreement_id long, name string, date date")
+    rows = spark.createDataFrame([(a, a, "upon the Start Date", None) for a in (1, 2, 3)] + [(4, 3, "upon the Start Date", dt.date(2020, 1, 2)), (5, 3, "upon the End Date", None)], "id long, agreement_id long, quote string, legacy_due date")
+    found = {r["id"]: (r["kind"], r["why"], r["bound"]) for r in timing.resolved(timing.parsed(rows), timing.anchor_candidates(events, agreements)).collect()}
+    day = dt.date(2020, 1, 1)
+    assert found == {1: ("scheduled", None, day), 2: ("unresolved", "conflicting_dates", None), 3: ("scheduled", None, day), 4: ("unresolved", "conflicting_dates", None), 5: ("unresolved", "anchor_without_date", None)}
+
+
+@pytest.mark.parametrize(("text", "want"), [("30 days of receipt", [30]), ("thirty (30) days after", [30]), ("10 calendar days after", [10]), ("10 business days after", []), ("1,000 days after", []), ("5 days prior\n to it", [-5])])
+def test_day_forms(spark, text, want):
+    assert one(spark, text, T.day_offsets) == want
+
+
+def test_needles_are_found_by_their_words(spark):
+    frame = spark.createDataFrame([("a  Rent\u00a0is\nDUE \\E now", " rent is due \\E "), ("x", None), ("x", " ")], "t string, n string")
+    found = [r[0] for r in frame.select(T.first_at(F.col("t"), F.col("n"), True).alias("x")).collect()]
+    assert (found[0]["start"], found[0]["end"]) == (3, 17) and found[1] is None and found[2] is None
+    assert not frame.select(T.holds(F.col("t"), F.col("n")).alias("x")).first()["x"]
 
 
 def test_grounding_nearest_and_ties(spark):

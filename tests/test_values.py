@@ -15,7 +15,7 @@ def one(spark, text, f):
     ["Mar. 5, 2011", "Mar 5 2011", "March 5 2011", "March\u00a05,\n2011", "5 March 2011", "05 Mar., 2011", "3/5/2011", "03/05/2011", "2011-03-05", "March 5, 2011"],
 )
 def test_every_form_of_a_date(spark, text):
-    assert [tuple(r) for r in one(spark, f"due {text}.", T.dates)] == [(4, dt.date(2011, 3, 5))]
+    assert [tuple(r) for r in one(spark, f"due {text}.", T.dates)] == [(4, dt.date(2011, 3, 5), 4 + len(text))]
 
 
 def test_months_and_order(spark):
