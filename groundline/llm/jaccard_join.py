@@ -16,17 +16,16 @@ overlap is the sum of partial overlaps that are counted apart.
    a pair's sum may then lack as many hits as both sets have hot hashes, and
    pairs that could reach l by hot hashes alone are kept together by linking
    each such set to the hash's first one. Connected candidates are a block.
-3. Whole sets, of blocks only, are cut vertically: the hash order has
-   FRAGMENTS fragments, and each set sends its part of a fragment to the
-   fragment's task. A task counts partial overlaps and leaves out a pair only
-   where the part alone shows that the pair can't link. Partial overlaps are
-   summed for each pair, and the sum decides exactly.
-4. Two rounds of this. First each block's pivot, the set with most candidate
-   links, is compared with the whole block; what links with it is connected.
-   Then the sets that don't are compared with all of their block. Two sets
-   that both link with the pivot need no test, so a group of copies costs its
-   size and not its square. Blocks of more than BLOCK_SHINGLES are dealt in
-   chunks, of members and of askers, so no task grows with a block.
+3. Whole sets, of vertices in blocks only, are sent to their block, once. The
+   hash order is cut into FRAGMENTS fragments; each keeps its own postings, and
+   a set's partial overlaps with all sets that it isn't connected with yet are
+   counted fragment by fragment and summed for each pair. Sets once reached by
+   a link need no further test, so a group of copies costs its size and not
+   its square, and only links that connect leave the task. A block with more
+   than BLOCK_SHINGLES is cut into chunks and each pair of chunks is one task,
+   so no task grows with a block.
+4. Summing the fragments' counts for each pair between tasks instead was tried
+   and given up: it emits every pair of a group of near copies (README).
 5. The links found connect vertices into components.
 
 Nothing is approximate but for collisions: of shingles' 64-bit hashes, and of
@@ -41,7 +40,7 @@ an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -257,81 +256,99 @@ def candidate_links(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], thre
     return found
 
 
-def partial_overlaps(members: list[tuple[int, int, bool, np.ndarray]], askers: list[tuple[int, int, bool, np.ndarray]], threshold: int = THRESHOLD) -> list[np.ndarray]:
-    """(u, v, partial overlap, u's size, v's size) of askers u and members v within a fragment. Each is (vertex, set size, asks, part).
+def linked_sets(ids: list[int], sets: list[np.ndarray], threshold: int = THRESHOLD, fragments: int = FRAGMENTS) -> list[tuple[int, int]]:
+    """(id, smallest id of its component) within one block, for all that link with another.
 
-    A pair is left out if its parts already miss more than the pair may miss
-    in all, and of two askers only the smaller vertex asks.
+    The order of shingles is cut into fragments; each keeps its own postings.
+    A set's overlap with every set not yet reached is the sum of what the
+    fragments count; a pair's cost is the shingles it shares.
     """
-    if not members or not askers:
-        return []
-    vertex = np.array([m[0] for m in members])
-    size = np.array([m[1] for m in members])
-    asks = np.array([m[2] for m in members])
-    parts = np.array([len(m[3]) for m in members])
-    terms = np.concatenate([m[3] for m in members])
-    order = np.argsort(terms, kind="stable")
-    terms, owner = terms[order], np.repeat(np.arange(len(members)), parts)[order]
-    out = []
-    for u, a, _, part in askers:
-        low, high = np.searchsorted(terms, part, "left"), np.searchsorted(terms, part, "right")
-        count = high - low
-        total = int(count.sum())
-        if not total:
+    order = sorted(range(len(ids)), key=lambda i: ids[i])
+    ids, sets = [ids[i] for i in order], [sets[i] for i in order]
+    sizes = np.array([len(s) for s in sets])
+    n = len(ids)
+    root = np.full(n, -1)
+    terms = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int64)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    width = int(terms.max()) + 1 if len(terms) else 0
+    cut = [width * f // fragments for f in range(fragments + 1)]
+    open_ = np.ones(n, bool)
+
+    def postings() -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each fragment: where each of its terms' postings begin, and the sets not yet reached."""
+        keep = np.repeat(open_, sizes)
+        t, o = terms[keep], np.repeat(np.arange(n), sizes)[keep]
+        by = np.argsort(t, kind="stable")
+        t, o = t[by], o[by]
+        out = []
+        for f in range(fragments):
+            low, high = np.searchsorted(t, [cut[f], cut[f + 1]])
+            out.append((np.searchsorted(t[low:high], np.arange(cut[f], cut[f + 1] + 1)), o[low:high]))
+        return out
+
+    index, held, left = postings(), n, n
+    for first in range(n):
+        if root[first] >= 0:
             continue
-        hit, overlap = np.unique(owner[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(total)], return_counts=True)
-        b = size[hit]
-        need = -(-threshold * (a + b) // (100 + threshold))
-        fits = (np.minimum(a, b) >= need) & (len(part) - overlap <= a - need) & (parts[hit] - overlap <= b - need) & (vertex[hit] != u) & (~asks[hit] | (vertex[hit] > u))
-        if fits.any():
-            hit = hit[fits]
-            out.append(np.stack([np.full(len(hit), u), vertex[hit], overlap[fits], np.full(len(hit), a), size[hit]]))
-    return out
-
-
-COUNTED = "u long, v long, partial long, a long, b long"
-
-
-def _by_fragment(threshold: int):
-    """partial_overlaps() of each run of rows with equal (block, i, j, f); rows come sorted."""
+        root[first], open_[first] = first, False
+        left -= 1
+        queue = [first]
+        while queue and left:
+            x = queue.pop()
+            if left < held / 2:
+                index, held = postings(), left
+            own = terms[bounds[x] : bounds[x + 1]]
+            met = []
+            for f, (starts, owners) in enumerate(index):
+                mine = own[(own >= cut[f]) & (own < cut[f + 1])] - cut[f]
+                low, count = starts[mine], starts[mine + 1] - starts[mine]
+                total = int(count.sum())
+                if total:
+                    hit = owners[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(total)]
+                    met.append(np.unique(hit[open_[hit]], return_counts=True))
+            if not met:
+                continue
+            # the fragments' partial overlaps, summed for each pair
+            hit, at = np.unique(np.concatenate([m[0] for m in met]), return_inverse=True)
+            overlap = np.bincount(at, np.concatenate([m[1] for m in met])).astype(np.int64)
+            new = hit[100 * overlap >= threshold * (sizes[hit] + sizes[x] - overlap)]
+            root[new], open_[new] = first, False
+            left -= len(new)
+            queue.extend(new.tolist())
+    return [(ids[i], ids[r]) for i, r in enumerate(root.tolist()) if i != r]
+
+
+def _grouped(kernel: Callable[[list, list], list[tuple[int, int]]]):
+    """Run `kernel` on each run of rows with equal (block, i, j); rows come sorted."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in COUNTED.split(", ")]
-        key, members, askers, out, held = None, {}, {}, [], 0
+        key, sets, out = None, {}, []
 
-        def settle() -> int:
-            found = partial_overlaps(list(members.values()), list(askers.values()), threshold)
-            out.extend(found)
-            members.clear(), askers.clear()
-            return sum(x.shape[1] for x in found)
-
-        def batch_out() -> pa.RecordBatch:
-            rows = np.concatenate(out, 1)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names)
+        def settle():
+            if len(sets) > 1:
+                out.extend(kernel(list(sets), list(sets.values())))
+            sets.clear()
 
         for batch in batches:
-            values = batch["part"].flatten().to_numpy().view(np.uint64)
-            offsets = np.asarray(batch["part"].offsets) - batch["part"].offsets[0].as_py()
-            columns = (batch[c].to_pylist() for c in ("block", "i", "j", "f", "vertex", "size", "rest", "asker"))
-            for row, (block, i, j, f, vertex, size, rest, asker) in enumerate(zip(*columns)):
-                if (block, i, j, f) != key:
-                    held += settle()
-                    key = block, i, j, f
-                # by vertex: a row that is there twice counts once
-                (askers if asker else members)[vertex] = (vertex, size, rest, values[offsets[row] : offsets[row + 1]].copy())
-            if held > 200_000:
-                yield batch_out()
-                held = 0
+            values = batch["shingles"].flatten().to_numpy().view(np.uint64)
+            offsets = np.asarray(batch["shingles"].offsets) - batch["shingles"].offsets[0].as_py()
+            for row, (*at, vertex) in enumerate(zip(*(batch[c].to_pylist() for c in ("block", "i", "j", "vertex")))):
+                if at != key:
+                    settle()
+                    key = at
+                sets[vertex] = values[offsets[row] : offsets[row + 1]].copy()
+            if len(out) > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["u", "v"])
+                out.clear()
         settle()
         if out:
-            yield batch_out()
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["u", "v"])
 
     return over
 
 
-def parts_of(docs: DataFrame, wanted: DataFrame, fragments: int = FRAGMENTS) -> DataFrame:
-    """(doc_id, node, check, f, part): the sets, cut at the fragments' bounds, of the documents in `wanted` (doc_id), and of a few more that the fixed-size filter lets through."""
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, node, check, shingles) of the documents in `wanted` (doc_id), and of a few more that the fixed-size filter lets through."""
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1
     bits = wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     table = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -339,80 +356,42 @@ def parts_of(docs: DataFrame, wanted: DataFrame, fragments: int = FRAGMENTS) ->
         part = np.frombuffer(r["bits"], np.uint8)
         table[(r["b"] - 1) * 4096 :][: len(part)] = part
     passes = docs.sparkSession.sparkContext.broadcast(table)
-    bounds = np.array([(f << 64) // fragments for f in range(1, fragments)], np.uint64)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = passes.value
         for batch in batches:
             places = batch["p"].to_numpy() - 1
             hit = np.flatnonzero(table[places >> 3] >> (places & 7).astype(np.uint8) & 1)
-            for some in np.array_split(hit, len(hit) // 64 + 1):
-                rows = []
-                for i in some.tolist():
-                    found = shingles(batch["text"][i].as_py() or "")
-                    if len(found):
-                        key = (batch["doc_id"][i].as_py(), *digest(found))
-                        rows.extend((*key, f, signed(part)) for f, part in enumerate(np.split(found, np.searchsorted(found, bounds))) if len(part))
-                if rows:
-                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "node", "check", "f", "part"])
+            for part in np.array_split(hit, len(hit) // 64 + 1):
+                found = [shingles(batch["text"][i].as_py() or "") for i in part.tolist()]
+                keep = [k for k, s in enumerate(found) if len(s)]
+                if keep:
+                    ids = [batch["doc_id"][int(part[k])].as_py() for k in keep]
+                    node, check = zip(*(digest(found[k]) for k in keep))
+                    lists = [signed(found[k]) for k in keep]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "node", "check", "shingles"]
+                    )
 
     ids = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", place.alias("p"))
-    return map_arrow(ids, kernel, "doc_id long, node long, check long, f int, part array<long>")
-
-
-def _round(parts: DataFrame, askers: DataFrame, n: int, threshold: int) -> DataFrame:
-    """(u, v): links between askers and the members of their blocks.
-
-    parts: (block, chunk, chunks, f, vertex, size, part); askers: (vertex,
-    block, turn, turns), dealt in `turns` for each block.
-    """
-    who = askers.select(F.col("vertex").alias("_vertex"), "turn", "turns")
-    asked = askers.groupBy(F.col("block").alias("_block")).agg(F.max("turns").alias("_turns"))
-    theirs = parts.join(asked, F.col("block") == F.col("_block"))
-    flagged = theirs.join(who, F.col("vertex") == F.col("_vertex"), "left").withColumn("rest", F.col("_vertex").isNotNull())
-    common = ["block", "f", "vertex", "size", "rest", "part"]
-    members = flagged.select(*common, F.col("chunk").alias("i"), F.explode(F.sequence(F.lit(0), F.col("_turns") - 1)).alias("j"), F.lit(False).alias("asker"))
-    asking = flagged.where("rest").select(*common, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), F.col("turn").alias("j"), F.lit(True).alias("asker"))
-    order = ["block", "i", "j", "f"]
-    dealt = members.unionByName(asking).repartition(n, *order).sortWithinPartitions(*order)
-    counted = map_arrow(dealt, _by_fragment(threshold), COUNTED)
-    total = counted.groupBy("u", "v").agg(F.sum("partial").alias("o"), F.max("a").alias("a"), F.max("b").alias("b"))
-    return total.where(F.col("o") * 100 >= threshold * (F.col("a") + F.col("b") - F.col("o"))).select("u", "v")
+    return map_arrow(ids, kernel, "doc_id long, node long, check long, shingles array<long>")
 
 
 def links(docs: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: int = THRESHOLD, hot: int = HOT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(u, v) of vertices: edges that connect each component. nodes: from nodes_of(); sets: from vertices()."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    candidates = candidate_links(docs, common_shingles(nodes), threshold, hot)
-    blocks = components(candidates, "blocks")
-    degree = candidates.select(F.explode(F.array("u", "v")).alias("_node")).groupBy("_node").agg(F.count(F.lit(1)).alias("degree"))
-    found = sets.join(blocks.withColumnRenamed("root", "block").withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).join(degree, F.col("node") == F.col("_node"))
-    found = materialize(found.select("vertex", "doc_id", "node", "check", "size", "block", "degree"), "found")
-    discard(spark, candidates)
-    shape = found.groupBy(F.col("block").alias("_block")).agg(
-        F.ceil(F.sum("size") / block_shingles).cast("int").alias("chunks"), F.max_by("vertex", F.struct("degree", -F.col("vertex"))).alias("pivot")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = components(candidate_links(docs, common_shingles(nodes), threshold, hot), "blocks")
+    found = sets.join(blocks.withColumnRenamed("root", "block").withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n")
+    load = found.groupBy(F.col("block").alias("_block")).agg(F.ceil(F.sum("size") / block_shingles).cast("int").alias("chunks"))
+    members = found.join(load, F.col("block") == F.col("_block"))
+    members = materialize(members.withColumn("chunk", F.pmod(F.xxhash64("vertex"), F.col("chunks").cast("long")).cast("int")), "members")
+    spread = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+        "vertex", F.col("doc_id").alias("_id"), F.col("node").alias("_node"), F.col("check").alias("_check"), "block", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j")
     )
-    members = found.join(shape, F.col("block") == F.col("_block")).withColumn("chunk", F.pmod(F.xxhash64("vertex"), F.col("chunks").cast("long")).cast("int"))
-    members = materialize(members.drop("_block", "degree"), "members")
-    discard(spark, found)
-    cut = parts_of(docs, members.select("doc_id"))
-    own = members.select("vertex", F.col("doc_id").alias("_id"), F.col("node").alias("_node"), F.col("check").alias("_check"), "size", "block", "chunk", "chunks")
-    here = cut.join(own, (F.col("doc_id") == F.col("_id")) & (F.col("node") == F.col("_node")) & (F.col("check") == F.col("_check")))
-    parts = materialize(here.select("block", "chunk", "chunks", "f", "vertex", "size", "part"), "parts")
-
-    pivots = members.where("vertex = pivot").select("vertex", "block", F.lit(0).alias("turn"), F.lit(1).alias("turns"))
-    near = materialize(_round(parts, pivots, n, threshold), "near")
-    reached = near.select(F.explode(F.array("u", "v")).alias("_vertex")).distinct()
-    rest = members.where("vertex <> pivot").join(reached, F.col("vertex") == F.col("_vertex"), "left_anti")
-    loads = rest.groupBy(F.col("block").alias("_block")).agg(F.ceil(F.sum("size") / block_shingles).cast("int").alias("turns"))
-    askers = rest.join(loads, F.col("block") == F.col("_block")).select("vertex", "block", F.pmod(F.xxhash64("vertex", F.lit(1)), F.col("turns").cast("long")).cast("int").alias("turn"), "turns")
-    askers = materialize(askers, "askers")
-    far = materialize(_round(parts, askers, n, threshold), "far")
-    discard(spark, parts)
-    discard(spark, askers)
-    return near.unionByName(far)
+    same = (F.col("doc_id") == F.col("_id")) & (F.col("node") == F.col("_node")) & (F.col("check") == F.col("_check"))
+    dealt = sets_of(docs, members.select("doc_id")).join(spread, same).select("block", "i", "j", "vertex", "shingles")
+    dealt = dealt.repartition(n, "block", "i", "j").sortWithinPartitions("block", "i", "j", "vertex")
+    return map_arrow(dealt, _grouped(lambda ids, found: linked_sets(ids, found, threshold)), "u long, v long")
 
 
 def vertices(nodes: DataFrame) -> DataFrame:

@@ -76,29 +76,29 @@ def test_rows_that_share_a_doc_id_are_not_mixed_up(spark):
     assert kept == sorted([rows[0], rows[1], rows[2], rows[6], rows[7], rows[8], rows[9]], key=str)
 
 
-def test_fragments_add_up():
+@pytest.mark.parametrize("fragments", [1, 4, 7])
+def test_fragments_add_up(fragments):
     import numpy as np
 
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 62, 300).astype(np.uint64)
     sets = [np.unique(np.where(rng.random(300) < rng.choice([0, 0.02, 0.1, 0.15, 0.5]), rng.integers(0, 1 << 62, 300).astype(np.uint64), base)) for _ in range(60)]
-    asks = [k % 3 == 0 for k in range(60)]
-    bounds = [(f << 62) // 4 for f in range(1, 4)]
-    parts = [np.split(x, np.searchsorted(x, np.array(bounds, np.uint64))) for x in sets]
-    total = {}
-    for f in range(4):
-        rows = [(k, len(sets[k]), asks[k], parts[k][f]) for k in range(60)]
-        for block in jaccard_join.partial_overlaps(rows, [r for r in rows if r[2]]):
-            for u, v, n, a, b in block.T.tolist():
-                total[u, v] = total.get((u, v), 0) + n
-    found = {k for k, n in total.items() if 100 * n >= 80 * (len(sets[k[0]]) + len(sets[k[1]]) - n)}
-    want = set()
-    for u in range(60):
-        for v in range(60):
+    sets += [np.array([k], np.uint64) for k in range(5)]
+    up = list(range(len(sets)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for u in range(len(sets)):
+        for v in range(u):
             both = len(np.intersect1d(sets[u], sets[v]))
-            if u != v and asks[u] and (not asks[v] or u < v) and 100 * both >= 80 * (len(sets[u]) + len(sets[v]) - both):
-                want.add((u, v))
-    assert found == want and want
+            if both and 100 * both >= 80 * (len(sets[u]) + len(sets[v]) - both):
+                x, y = sorted((root(u), root(v)))
+                up[y] = x
+    found = dict(jaccard_join.linked_sets(list(range(len(sets))), sets, fragments=fragments))
+    assert found == {k: root(k) for k in range(len(sets)) if root(k) != k} and found
 
 
 def test_common_shingles_come_last(spark):
