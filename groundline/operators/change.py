@@ -32,7 +32,7 @@ def base_first(agreements: DataFrame) -> DataFrame:
 
 def section_types(g: Graph, seen: DataFrame) -> DataFrame:
     """The types of visible obligations in each section of an agreement."""
-    rows = g.clause_ref.where("grounded").join(seen.select(F.col("id").alias("_o"), "type"), F.col("obligation_id") == F.col("_o"))
+    rows = g.clause_ref.where("grounded").join(seen.select(F.col("id").alias("_o"), F.col("agreement_id").alias("_a"), "type"), (F.col("obligation_id") == F.col("_o")) & (F.col("agreement_id") == F.col("_a")))
     return rows.groupBy("agreement_id", "section").agg(F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"))
 
 

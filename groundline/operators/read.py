@@ -47,7 +47,7 @@ def obligations(
     for column, value in (("type", type_), ("status", status), ("lifecycle", lifecycle), ("agreement_id", agreement)):
         if value is not None:
             rows = rows.where(F.col(column) == value)
-    if not include_superseded and lifecycle != "superseded":
+    if not include_superseded:
         rows = rows.where("lifecycle <> 'superseded'")
     if party is not None:
         bound = views.visible_party_binding(g)
@@ -198,6 +198,7 @@ def new_obligations(g: Graph) -> DataFrame:
     return rows.withColumn("_at", first).where("_at = 1").select("id", "agreement_id", "ref_id", "char_start")
 
 
-def unresolved_documents(texts: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Q23: which of a short list of names occur in each text."""
-    return texts.join(F.broadcast(aliases), F.col("text").contains(F.col("alias"))).select("doc_id", "alias")
+def unresolved_documents(texts: DataFrame, names: list[str]) -> DataFrame:
+    """Q23: which of a chain's configured names of documents outside the corpus occur in each text."""
+    found = F.filter(F.array(*map(F.lit, names)), lambda name: F.contains(F.col("text"), name))
+    return texts.select("doc_id", F.explode(found).alias("alias"))

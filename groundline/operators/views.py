@@ -6,6 +6,8 @@ conditions always come with an equi key. Only names in CATALOG are served.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ def fresh_change_run(g: Graph) -> DataFrame:
         F.max(F.when((F.col("role") == "change_order") & (F.col("agreement_id") == F.col("run_id")), F.col("position"))).alias("last"),
     )
     runs = g.change_run.where("completed").join(whole, "run_id")
-    return runs.where("members = chain_size AND current AND last = chain_size - 1").select("run_id", "change_order", "chain_size")
+    return runs.where("members = chain_size AND current AND last = chain_size - 1").select("run_id", "change_order", "chain_size", "mode")
 
 
 def grounded_obligation(g: Graph) -> DataFrame:
@@ -36,8 +38,8 @@ def grounded_obligation(g: Graph) -> DataFrame:
 
 
 def visible_event_binding(g: Graph) -> DataFrame:
-    """Events with a grounded citation."""
-    return g.event.where("grounded").select(F.col("agreement_id").alias("event_agreement"), "event_date")
+    """Events with a grounded citation in their own agreement."""
+    return g.event.where("grounded AND cited_in = agreement_id").select(F.col("agreement_id").alias("event_agreement"), "event_date")
 
 
 def visible_party_binding(g: Graph) -> DataFrame:
@@ -50,31 +52,42 @@ def visible_site_binding(g: Graph) -> DataFrame:
     return g.agreement_site.join(grounded_refs(g).select("agreement_id"), "agreement_id", "left_semi")
 
 
+def visible_defined_term(g: Graph) -> DataFrame:
+    """Defined terms with a grounded citation in their own agreement."""
+    cited = grounded_refs(g).select(F.col("ref_id").alias("_r"), F.col("agreement_id").alias("_a"), "section", "char_start")
+    return g.defined_term.join(cited, (F.col("ref_id") == F.col("_r")) & (F.col("agreement_id") == F.col("_a"))).drop("_r", "_a")
+
+
 def visible_obligation_timing(g: Graph) -> DataFrame:
-    """Timing whose trigger lies inside a grounded clause of the obligation and whose stored bound can be recomputed."""
-    clause = grounded_refs(g).select(F.col("obligation_id").alias("_o"), "char_start", "char_end")
-    obligation = grounded_obligation(g).select(F.col("id").alias("_id"), "agreement_id")
-    inside = (F.col("obligation_id") == F.col("_o")) & (F.col("char_start") <= F.col("trigger_start")) & (F.col("trigger_end") <= F.col("char_end"))
-    timing = g.timing.join(clause, inside, "left_semi").join(obligation, F.col("obligation_id") == F.col("_id"))
-    bound = timing.join(visible_event_binding(g), F.col("agreement_id") == F.col("event_agreement"), "left")
+    """Timing whose trigger, if any, lies inside a grounded clause of the obligation, whose anchor, if any, is a visible event of its agreement or the base, and whose stored bound can be recomputed."""
+    clause = grounded_refs(g).select(F.col("obligation_id").alias("_o"), F.col("agreement_id").alias("_c"), "char_start", "char_end")
+    obligation = grounded_obligation(g).select(F.col("id").alias("_id"), "agreement_id", "base_agreement_id")
+    rows = g.timing.join(obligation, F.col("obligation_id") == F.col("_id"))
+    inside = (F.col("obligation_id") == F.col("_o")) & (F.col("agreement_id") == F.col("_c")) & (F.col("char_start") <= F.col("trigger_start")) & (F.col("trigger_end") <= F.col("char_end"))
+    shown = rows.where("trigger_start IS NULL").unionByName(rows.where("trigger_start IS NOT NULL AND trigger_grounded").join(clause, inside, "left_semi"))
+    bound = shown.join(visible_event_binding(g), F.col("anchor_agreement") == F.col("event_agreement"), "left")
+    near = (F.col("anchor_agreement") == F.col("agreement_id")) | F.coalesce(F.col("anchor_agreement") == F.col("base_agreement_id"), F.lit(False))
+    held = F.col("anchor_agreement").isNull() | (F.col("event_agreement").isNotNull() & near)
     anchored = F.col("event_date").isNotNull() & (F.col("bound_date") == F.date_add("event_date", F.coalesce("offset_days", F.lit(0))))
-    return bound.where((F.col("kind") != "scheduled") | anchored).select("obligation_id", "agreement_id", "kind", "relation", "offset_days", "bound_date")
+    return bound.where(held & ((F.col("kind") != "scheduled") | anchored)).select("obligation_id", "agreement_id", "kind", "relation", "offset_days", "anchor_agreement", "bound_date")
 
 
 def supersession_edges(g: Graph) -> DataFrame:
     """C14: a finding becomes an edge if it is the only pair of its new clause and resolved to a section or range."""
     hits = g.finding.where("kind = 'supersedes' AND old_ref IS NOT NULL AND resolution IN ('section', 'range')")
-    alone = hits.groupBy("run_id", F.col("new_ref").alias("obligation_id")).agg(F.count(F.lit(1)).alias("n"), F.min("old_ref").alias("superseded_id"))
-    return alone.where("n = 1").select("run_id", "obligation_id", "superseded_id")
+    alone = hits.groupBy("run_id", F.col("new_ref").alias("obligation_id")).agg(F.count(F.lit(1)).alias("n"), F.min("old_ref").alias("superseded_id"), F.min("new_ref").alias("ref_id"))
+    return alone.where("n = 1").select("run_id", "obligation_id", "superseded_id", "ref_id")
 
 
 def eligible_supersedes(g: Graph) -> DataFrame:
-    """Edges of fresh runs from the change order to a strictly earlier member, cited at both ends."""
+    """Edges of fresh ungated runs from the change order to a strictly earlier member, with a grounded citation of their own in the change order and at both ends."""
     cited = grounded_obligation(g).select("id", "agreement_id")
     new = cited.select(F.col("id").alias("_n"), F.col("agreement_id").alias("_na"))
     old = cited.select(F.col("id").alias("_o"), F.col("agreement_id").alias("_oa"))
     at = g.chain.select(F.col("run_id").alias("_r"), F.col("agreement_id").alias("_m"), F.col("position").alias("_p"))
-    edges = supersession_edges(g).join(fresh_change_run(g).select("run_id"), "run_id", "left_semi")
+    edges = supersession_edges(g).join(fresh_change_run(g).where("mode = 'ungated'").select("run_id"), "run_id", "left_semi")
+    own = grounded_refs(g).select(F.col("ref_id").alias("_ref"), F.col("agreement_id").alias("_ra"))
+    edges = edges.join(own, (F.col("ref_id") == F.col("_ref")) & (F.col("run_id") == F.col("_ra")), "left_semi")
     joined = (
         edges.join(new, (F.col("obligation_id") == F.col("_n")) & (F.col("run_id") == F.col("_na")))
         .join(old, F.col("superseded_id") == F.col("_o"))
@@ -93,7 +106,7 @@ def visible_obligation(g: Graph) -> DataFrame:
     rows = rows.withColumn("anchored", F.date_add("event_date", F.col("offset_days"))).join(timing, F.col("id") == F.col("_t"), "left").join(gone, F.col("id") == F.col("_s"), "left")
     by_timing = F.when((F.col("kind") == "scheduled") & F.col("relation").isin("lte", "eq"), F.col("bound_date"))
     life = (
-        F.when(F.col("_s").isNotNull(), "superseded")
+        F.when(F.col("_s").isNotNull() | (F.col("status") == "superseded"), "superseded")
         .when(F.coalesce("due_date", "anchored").isNotNull() | F.coalesce(F.col("kind") == "scheduled", F.lit(False)), "scheduled")
         .otherwise("pending")
     )
@@ -172,12 +185,17 @@ def visible_change_finding_ref(g: Graph) -> DataFrame:
 
 
 def citation_violations(g: Graph) -> DataFrame:
-    """Citations that point into another agreement than their owner's; none may be there at commit."""
+    """Citations that point into another agreement than their owner's; a commit must have none. One row for each relation."""
     owner = g.obligation.select("id", F.col("agreement_id").alias("_oa"))
-    wrong = g.clause_ref.join(owner, F.col("obligation_id") == F.col("id")).where("agreement_id <> _oa").select(F.lit("clause_ref").alias("relation"), "ref_id")
-    edge = guarantee_edges(g).join(g.clause_ref.select("ref_id", F.col("agreement_id").alias("_ca")), "ref_id").join(owner, F.col("guarantee_id") == F.col("id"))
-    edge = edge.where("_ca <> _oa").select(F.lit("guarantees").alias("relation"), "ref_id")
-    return wrong.unionByName(edge).groupBy("relation").agg(F.count(F.lit(1)).alias("violations"))
+    cited = g.clause_ref.select("ref_id", F.col("agreement_id").alias("_ca"))
+    wrong = [
+        ("clause_ref", g.clause_ref.join(owner, F.col("obligation_id") == F.col("id")).where("agreement_id <> _oa")),
+        ("event", g.event.where("cited_in <> agreement_id")),
+        ("defined_term", g.defined_term.join(cited, "ref_id", "left").where("NOT agreement_id <=> _ca")),
+        ("guarantees", guarantee_edges(g).join(cited, "ref_id").join(owner, F.col("guarantee_id") == F.col("id")).where("_ca <> _oa")),
+    ]
+    counts = [rows.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("relation"), "violations") for name, rows in wrong]
+    return reduce(DataFrame.unionByName, counts)
 
 
 def constraint_violations(g: Graph) -> DataFrame:
@@ -214,6 +232,7 @@ CATALOG = {
     "visible_supersedes": visible_supersedes,
     "visible_guarantees": visible_guarantees,
     "visible_triggers": visible_triggers,
+    "visible_defined_term": visible_defined_term,
     "visible_party_binding": visible_party_binding,
     "visible_event_binding": visible_event_binding,
     "visible_site_binding": visible_site_binding,

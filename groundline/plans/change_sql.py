@@ -12,7 +12,7 @@ EXTRA = (
     VIEWS
     | TEXT
     | {
-        "sect": "SELECT c.agreement_id, c.section, string_agg(DISTINCT o.type, ',' ORDER BY o.type) AS types FROM clause_ref c JOIN obligation o ON o.id = c.obligation_id WHERE c.grounded GROUP BY ALL",
+        "sect": "SELECT c.agreement_id, c.section, string_agg(DISTINCT o.type, ',' ORDER BY o.type) AS types FROM clause_ref c JOIN obligation o ON o.id = c.obligation_id AND o.agreement_id = c.agreement_id WHERE c.grounded GROUP BY ALL",
         "gate": """
 SELECT run_id, n - 1 AS category, CASE WHEN l_returnflag = 'R' THEN 1 WHEN l_returnflag = 'A' THEN 0 END AS s1, CASE WHEN l_suppkey % 3 < 2 THEN l_suppkey % 3 END AS s2,
        CASE WHEN l_partkey % 5 < 4 THEN CASE WHEN l_partkey % 5 > 2 THEN 1 ELSE 0 END END AS s3, l_partkey % 13 = 0 AS failed, l_suppkey % 4 = 0 AS rule_hit
@@ -26,7 +26,7 @@ FROM counted""",
         "iou": """
 SELECT p.base_agreement_id AS doc, p.type, g.ref_id AS gold, c.ref_id AS pred, least(g.char_end, c.char_end) - greatest(g.char_start, c.char_start) AS inter,
        greatest(g.char_end, c.char_end) - least(g.char_start, c.char_start) AS "union"
-FROM clause_ref c JOIN obligation p ON p.id = c.obligation_id JOIN clause_ref g ON g.agreement_id = p.base_agreement_id JOIN obligation o ON o.id = g.obligation_id AND o.type = p.type
+FROM main_ref c JOIN obligation p ON p.id = c.obligation_id JOIN main_ref g ON g.agreement_id = p.base_agreement_id JOIN obligation o ON o.id = g.obligation_id AND o.type = p.type
 WHERE least(g.char_end, c.char_end) > greatest(g.char_start, c.char_start)""",
         "lab": """
 SELECT lang, count(*) FILTER (WHERE quality = 1 AND n_chars > 900) AS tp, count(*) FILTER (WHERE n_chars > 900) AS n_pred, count(*) FILTER (WHERE quality = 1) AS n_gold

@@ -80,6 +80,7 @@ class Graph:
             F.when(k.isin(1, 2), (F.col("l_quantity").cast("int") * sign)).cast("int").alias("offset_days"),
             F.when((F.col("l_returnflag") == "R") & (F.col("l_partkey") % 5 == 0), "redacted")
             .when((F.col("l_returnflag") == "A") & (F.col("l_partkey") % 5 == 1), "blank")
+            .when(F.col("l_suppkey") % 17 == 5, "superseded")
             .otherwise("active")
             .alias("status"),
             (F.col("l_suppkey") * 2 + 1).alias("owed_to"),
@@ -96,50 +97,75 @@ class Graph:
 
     @stored("agreement_id")
     def event(self) -> DataFrame:
+        """An event of each agreement; some are cited in another agreement's text."""
         key = F.col("o_orderkey")
         return self.table("orders").select(
-            key.alias("agreement_id"), F.when(key % 6 != 0, F.to_date("o_orderdate")).alias("event_date"), (key % 8 != 0).alias("grounded")
+            key.alias("agreement_id"),
+            F.when(key % 6 != 0, F.to_date("o_orderdate")).alias("event_date"),
+            (key % 8 != 0).alias("grounded"),
+            F.when(key % 19 == 7, key + 1).otherwise(key).alias("cited_in"),
         )
 
     @stored("agreement_id")
     def clause_ref(self) -> DataFrame:
+        """Each obligation's clause, a second one of some, and some that point into another agreement, which must count for nothing."""
         start = (F.col("l_partkey") % 500) * 10
-        return self.line.select(
-            F.col("id").alias("ref_id"),
+        line = self.line.select(
             F.col("id").alias("obligation_id"),
-            F.col("l_orderkey").alias("agreement_id"),
+            "l_orderkey",
             (F.col("l_partkey") % 7).alias("section"),
-            (F.floor(start / 2000) + 1).cast("long").alias("page"),
-            start.alias("char_start"),
-            (start + 20 + F.col("l_quantity").cast("long")).alias("char_end"),
-            (F.col("l_suppkey") % 10 != 3).alias("grounded"),
+            start.alias("start"),
+            F.col("l_quantity").cast("long").alias("size"),
+            (F.col("l_suppkey") % 10 != 3).alias("first"),
+            F.when(F.col("l_linenumber") % 3 == 1, F.col("l_suppkey") % 4 != 1).alias("second"),
+            (F.col("l_partkey") % 97 == 0).alias("astray"),
+        )
+
+        def ref(number: int, agreement, section, at, grounded):
+            return F.struct(
+                (F.col("obligation_id") + number * 10**12).alias("ref_id"), agreement.cast("long").alias("agreement_id"), section.alias("section"), at.alias("char_start"),
+                (at + 20 + F.col("size")).alias("char_end"), grounded.alias("grounded"),
+            )
+
+        own, section = F.col("l_orderkey"), F.col("section")
+        refs = F.array(
+            ref(0, own, section, F.col("start"), F.col("first")),
+            F.when(F.col("second").isNotNull(), ref(1, own, (section + 1) % 7, F.col("start") + 300, F.col("second"))),
+            F.when(F.col("astray"), ref(2, own % 1000 + 1, section, F.col("start"), F.lit(True))),
         )
+        rows = line.select("obligation_id", F.explode(F.array_compact(refs)).alias("r")).select("r.ref_id", "obligation_id", "r.agreement_id", "r.section", "r.char_start", "r.char_end", "r.grounded")
+        return rows.withColumn("page", (F.floor(F.col("char_start") / 2000) + 1).cast("long"))
+
+    @stored("agreement_id")
+    def defined_term(self) -> DataFrame:
+        """A term that each agreement defines in its first line; some are cited from the base instead."""
+        ref = F.when(F.col("agreement_id") % 13 == 5, F.coalesce("base_agreement_id", "agreement_id")).otherwise(F.col("agreement_id"))
+        return self.agreement.select("agreement_id", F.concat(F.lit("Term "), F.col("agreement_id") % 10).alias("term"), (ref * 100 + 1).alias("ref_id"))
 
     @stored("obligation_id")
     def timing(self) -> DataFrame:
-        """Stored timing of obligations with k = 3; the bound is off by a day on line 7, and a trigger may leave its clause."""
+        """Stored timing of obligations with k = 3. Some have no trigger or one outside their clause, some an anchor in the base or elsewhere; the bound is off by a day on line 7."""
         kind = F.element_at(F.array(*map(F.lit, ("scheduled", "scheduled", "contingent", "unresolved"))), (F.col("l_suppkey") % 5 + 1).cast("int"))
         start = (F.col("l_partkey") % 500) * 10
-        days = F.col("l_quantity").cast("int")
-        rows = self.line.where("l_partkey % 4 = 3 AND l_suppkey % 5 < 4").select(
+        days, bare = F.col("l_quantity").cast("int"), F.col("l_suppkey") % 7 == 3
+        base = self.agreement.select(F.col("agreement_id").alias("_b"), "base_agreement_id")
+        place = F.col("l_linenumber")
+        anchor = F.when(place % 3 == 0, F.coalesce("base_agreement_id", "l_orderkey")).when(place == 5, F.col("l_orderkey") % 1000 + 1).otherwise(F.col("l_orderkey"))
+        rows = self.line.where("l_partkey % 4 = 3 AND l_suppkey % 5 < 4").join(base, F.col("l_orderkey") == F.col("_b"))
+        rows = rows.select(
             F.col("id").alias("obligation_id"),
-            F.col("l_orderkey").alias("_a"),
             kind.alias("kind"),
             F.when(F.col("l_suppkey") % 5 == 0, "lt").when(F.col("l_suppkey") % 5 == 1, "lte").alias("relation"),
             days.alias("offset_days"),
-            (start + 2).alias("trigger_start"),
-            (start + F.when(F.col("l_linenumber") % 6 == 5, 100).otherwise(12)).alias("trigger_end"),
-            F.when(F.col("l_linenumber") == 7, 1).otherwise(0).alias("_off"),
+            F.when(~bare, start + 2).alias("trigger_start"),
+            F.when(~bare, start + F.when(place % 6 == 5, 100).otherwise(12)).alias("trigger_end"),
+            F.when(~bare, F.col("l_suppkey") % 9 != 4).alias("trigger_grounded"),
+            F.when((kind == "scheduled") | (F.col("l_suppkey") % 2 == 1), anchor).cast("long").alias("anchor_agreement"),
+            F.when(place == 7, 1).otherwise(0).alias("_off"),
         )
         dated = self.event.select(F.col("agreement_id").alias("_e"), "event_date")
-        return rows.join(dated, F.col("_a") == F.col("_e"), "left").select(
-            "obligation_id",
-            "kind",
-            "relation",
-            "offset_days",
-            "trigger_start",
-            "trigger_end",
-            F.when(F.col("kind") == "scheduled", F.date_add("event_date", F.col("offset_days") + F.col("_off"))).alias("bound_date"),
+        return rows.join(dated, F.col("anchor_agreement") == F.col("_e"), "left").select(
+            *(c for c in rows.columns if c != "_off"), F.when(F.col("kind") == "scheduled", F.date_add("event_date", F.col("offset_days") + F.col("_off"))).alias("bound_date")
         )
 
     @stored("agreement_id")
@@ -178,6 +204,7 @@ class Graph:
             F.col("run_id").alias("change_order"),
             (F.col("run_id") % 11 != 0).alias("completed"),
             (F.col("members") + F.when(F.col("run_id") % 13 == 0, 1).otherwise(0)).alias("chain_size"),
+            F.when(F.col("run_id") % 5 == 2, "gated").otherwise("ungated").alias("mode"),
         )
 
     @stored("run_id")
@@ -206,7 +233,7 @@ class Graph:
     @stored("run_id")
     def finding(self) -> DataFrame:
         """Findings of runs: a clause of the change order over a clause of the base with equal type and overlapping span."""
-        refs = self.clause_ref.join(self.obligation.select(F.col("id").alias("_o"), "type", "base_agreement_id"), F.col("obligation_id") == F.col("_o"))
+        refs = self.clause_ref.where("ref_id = obligation_id").join(self.obligation.select(F.col("id").alias("_o"), "type", "base_agreement_id"), F.col("obligation_id") == F.col("_o"))
         new = refs.where("base_agreement_id IS NOT NULL").select(
             F.col("agreement_id").alias("run_id"), F.col("base_agreement_id").alias("_base"), F.col("type").alias("_type"), F.col("ref_id").alias("new_ref"),
             F.col("char_start").alias("_s"), F.col("char_end").alias("_e"), F.col("section").alias("new_section"),

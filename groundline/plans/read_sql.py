@@ -35,9 +35,9 @@ ORACLES = {
         "(SELECT min(role) FROM seen_party p WHERE p.agreement_id = o.agreement_id AND p.party_id = o.owed_to) AS first_role, "
         "CASE o.status WHEN 'redacted' THEN '[REDACTED]' WHEN 'blank' THEN '[BLANK]' END AS marker, "
         "CASE WHEN cents % 100 = 0 THEN CAST(cents // 100 AS VARCHAR) ELSE (cents // 100) || '.' || rtrim(lpad(CAST(cents % 100 AS VARCHAR), 2, '0'), '0') END AS amount, "
-        "(SELECT min(char_start) FROM clause_ref c WHERE c.obligation_id = o.id AND c.grounded) AS first_start, "
-        "(SELECT count(*) FROM clause_ref c WHERE c.obligation_id = o.id AND c.grounded) AS n_clauses, "
-        "(SELECT event_date FROM event e WHERE e.grounded AND e.agreement_id = o.agreement_id AND o.anchor_agreement = o.agreement_id) AS anchor_date, "
+        "(SELECT min(char_start) FROM own_ref c WHERE c.obligation_id = o.id) AS first_start, "
+        "(SELECT count(*) FROM own_ref c WHERE c.obligation_id = o.id) AS n_clauses, "
+        "(SELECT event_date FROM cited_event e WHERE e.agreement_id = o.agreement_id AND o.anchor_agreement = o.agreement_id) AS anchor_date, "
         "CASE WHEN o.timing_kind = 'scheduled' AND o.bound_date IS NOT NULL THEN o.relation || ' ' || strftime(o.bound_date, '%Y-%m-%d') END AS deadline, "
         "coalesce((SELECT string_agg(CAST(s.obligation_id AS VARCHAR), ',' ORDER BY s.obligation_id) FROM eligible_edge s WHERE s.superseded_id = o.id), '') AS superseded_by "
         "FROM seen_obligation o WHERE o.type = 't2'"
@@ -65,8 +65,8 @@ ORACLES = {
         "SELECT run_id, kind, new_ref, old_ref, string_agg(DISTINCT CAST(category AS VARCHAR), ',' ORDER BY CAST(category AS VARCHAR)) AS categories, min(finding_id) AS finding_id FROM seen_finding GROUP BY run_id, kind, new_ref, old_ref"
     ),
     "q22_new_obligations": sql(
-        "SELECT o.id, o.agreement_id, c.ref_id, c.char_start FROM seen_obligation o JOIN clause_ref c ON c.obligation_id = o.id AND c.grounded "
-        "WHERE o.agreement_id IN (SELECT run_id FROM fresh_run) AND o.id NOT IN (SELECT obligation_id FROM eligible_edge)"
+        "SELECT o.id, o.agreement_id, c.ref_id, c.char_start FROM seen_obligation o JOIN own_ref c ON c.obligation_id = o.id "
+        "WHERE o.agreement_id IN (SELECT run_id FROM fresh_run) AND o.id NOT IN (SELECT obligation_id FROM eligible_edge) QUALIFY row_number() OVER (PARTITION BY o.id ORDER BY c.char_start, c.ref_id) = 1"
     ),
     "q23_unresolved_documents": "SELECT doc_id, alias FROM documents, (VALUES ('License'), ('the and'), ('***'), ('Lizenz')) v(alias) WHERE contains(text, alias)",
 }

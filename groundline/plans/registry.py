@@ -30,6 +30,7 @@ VIEWS = {
     "d06_visible_supersedes": _graph(views.visible_supersedes),
     "d07_visible_guarantees": _graph(views.visible_guarantees),
     "d08_visible_triggers": _graph(views.visible_triggers),
+    "d09_defined_term": _graph(views.visible_defined_term),
     "d09_party_binding": _graph(views.visible_party_binding),
     "d10_visible_finding": _graph(views.visible_change_finding, "finding_id", "run_id", "kind", "category", "old_origin", "new_ref", "old_ref"),
     "d11_obligation_clause": _graph(views.visible_obligation_clause),
@@ -65,8 +66,7 @@ def _documents_to_resolve(g: Graph) -> DataFrame:
 
 
 def _aliases(g: Graph) -> DataFrame:
-    names = g.spark.createDataFrame([("License",), ("the and",), ("***",), ("Lizenz",)], "alias string")
-    return read.unresolved_documents(g.table("documents"), names)
+    return read.unresolved_documents(g.table("documents"), ["License", "the and", "***", "Lizenz"])
 
 
 READ = {
