@@ -16,7 +16,8 @@ from groundline.functions import text as T
 LINES_PER_PAGE = 40
 # fixed values: tags that end a line, and tags whose content is no text
 BLOCKS = frozenset("address article aside blockquote body center dd div dl dt fieldset footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td th tfoot thead tr ul".split())
-SKIPPED = frozenset("head script style title noscript".split())
+SKIPPED = frozenset("script style title noscript".split())
+HEAD = frozenset("title meta link base script style noscript template".split())
 SECTION = r"^(?:SECTION|Section) [0-9]+(?:\.[0-9]+)*\b"
 NUMBERED = r"^[0-9]+(?:\.[0-9]+)+ +[A-Z“\"]"
 # fixed values: what later chunks repeat of the first
@@ -122,6 +123,7 @@ class _Walker(HTMLParser):
         self.lines: list[tuple[str, bool]] = []
         self.now: list[str] = []
         self.skipping = 0
+        self.in_head = False  # a head ends with its end tag, or with the first thing that can't be in it
         self.broken = False
         self.cells = 0
         self.pending: list[str] = []
@@ -134,6 +136,7 @@ class _Walker(HTMLParser):
             self.broken = False
 
     def handle_starttag(self, tag, attrs):
+        self.in_head = tag == "head" or self.in_head and tag in HEAD
         if tag in SKIPPED:
             self.skipping += 1
         style = (dict(attrs).get("style") or "").replace(" ", "").lower()
@@ -153,6 +156,8 @@ class _Walker(HTMLParser):
             self.pending.append(tag)
 
     def handle_endtag(self, tag):
+        if tag == "head":
+            self.in_head = False
         if tag in SKIPPED:
             self.skipping = max(0, self.skipping - 1)
         if tag in ("td", "th"):
@@ -167,7 +172,8 @@ class _Walker(HTMLParser):
             self.broken = bool(self.lines)
 
     def handle_data(self, data):
-        if not self.skipping:
+        if not self.skipping and (not self.in_head or data.strip()):
+            self.in_head = False
             self.now.append(data)
 
 

@@ -125,26 +125,6 @@ def gate_metrics(decisions: DataFrame, reference: DataFrame) -> DataFrame:
     )
 
 
-def miss_bound(misses: Column, n: Column, level: float = 0.95) -> Column:
-    """The one-sided upper Clopper-Pearson bound of a miss rate. Without misses it has a closed form; else bisection of the binomial tail."""
-
-    @F.pandas_udf("double")
-    def tail(k: pd.Series, total: pd.Series) -> pd.Series:
-        def bound(k: int, n: int) -> float:
-            if k >= n:
-                return 1.0
-            low, high = 0.0, 1.0
-            for _ in range(200):
-                p = (low + high) / 2
-                logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p or 1e-300) + (n - i) * math.log1p(-p if p < 1 else -1 + 1e-16) for i in range(k + 1)]
-                low, high = (p, high) if sum(map(math.exp, logs)) > 1 - level else (low, p)
-            return high
-
-        return pd.Series([bound(int(a), int(b)) for a, b in zip(k, total)])
-
-    return F.when(n == 0, 1.0).when(misses == 0, 1 - F.pow(F.lit(1 - level), 1 / n)).otherwise(tail(misses.cast("int"), n.cast("int")))
-
-
 def spread(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Mean, population deviation, least and greatest."""
     v = F.col(value)

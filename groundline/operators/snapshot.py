@@ -57,6 +57,35 @@ def write_snapshot(spark: SparkSession, rows: DataFrame, table: str, key: str) -
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
 
 
+def change_run_faults(chain: DataFrame, current: DataFrame, findings: DataFrame, texts: DataFrame) -> DataFrame:
+    """What speaks against storing runs (run_id, fault, n): members whose extraction has moved, and spans that aren't slices of their document.
+
+    chain: (run_id, agreement_id, text_hash); current: (agreement_id,
+    text_hash, complete); findings: (run_id, agreement_id, char_start,
+    char_end, span_text), a row for each cited side; texts: (doc_id, text).
+    """
+    now = current.where("complete").select(F.col("agreement_id").alias("_a"), F.col("text_hash").alias("_h"))
+    moved = chain.join(now, (F.col("agreement_id") == F.col("_a")) & (F.col("text_hash") == F.col("_h")), "left_anti").select("run_id", F.lit("stale_snapshot").alias("fault"))
+    told = texts.select(F.col("doc_id").alias("_d"), "text")
+    slice_ = F.expr("substring(text, char_start + 1, char_end - char_start)")
+    wrong = findings.join(told, F.col("agreement_id") == F.col("_d"), "left").where(~slice_.eqNullSafe(F.col("span_text"))).select("run_id", F.lit("span_mismatch").alias("fault"))
+    members = chain.select(F.col("run_id").alias("_r"), F.col("agreement_id").alias("_m"))
+    foreign = findings.join(members, (F.col("run_id") == F.col("_r")) & (F.col("agreement_id") == F.col("_m")), "left_anti").select("run_id", F.lit("not_in_chain").alias("fault"))
+    return moved.unionByName(wrong).unionByName(foreign).groupBy("run_id", "fault").agg(F.count(F.lit(1)).alias("n"))
+
+
+def replaced_runs(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """The stored runs (run_id, change_order, mode) after new ones: one for each order and mode; a new ungated run drops the gated one that was paired with the old."""
+    same = new.select(F.col("change_order").alias("_c"), F.col("mode").alias("_m")).distinct()
+    dropped = same.unionByName(same.where("_m = 'ungated'").select("_c", F.lit("gated").alias("_m"))).distinct()
+    return stored.join(dropped, (F.col("change_order") == F.col("_c")) & (F.col("mode") == F.col("_m")), "left_anti").unionByName(new)
+
+
+def missing_outcomes(wanted: DataFrame, stored: DataFrame) -> DataFrame:
+    """Of a gated run's checks (change_order, category, fingerprint) those whose baseline stored no outcome for the same request."""
+    return wanted.join(stored, ["change_order", "category", "fingerprint"], "left_anti")
+
+
 def precondition_faults(snapshot: DataFrame, pins: DataFrame) -> DataFrame:
     """Rows whose digest isn't the pinned one, or that have no pin."""
     rows = snapshot.join(pins.select(F.col("doc").alias("_d"), "pin"), F.col("doc") == F.col("_d"), "left")

@@ -14,6 +14,7 @@ from groundline.operators import findings, ingest, proposals
 from groundline.operators.lookup import Book
 from groundline.plans.overlay import Graph, stored
 from groundline.plans.overlay_sql import with_overlay
+from groundline.plans.views_sql import VIEWS
 
 DAY = "MMMM d, yyyy"
 #: (text, construction, relation, sign, unit, trigger kind, name, reason); N is the count, S the count in words.
@@ -368,4 +369,28 @@ ORACLES = {
             ("c10_potential_conflicts", "potential_conflict", f"{_KEPT} old_origin END AS old_origin"),
         )
     },
+    "m06_eight_fields": (
+        "SELECT field, count(*) FILTER (g) AS gold_known, count(*) FILTER (p) AS pred_known, count(*) FILTER (g AND p) AS both_known, count(*) FILTER (g AND p AND same) AS both_known_equal, "
+        "count(*) FILTER (g AND p AND same) / nullif(count(*) FILTER (g AND p), 0) AS accuracy_on_known, count(*) FILTER (g AND p) / nullif(count(*) FILTER (g), 0) AS coverage FROM ("
+        + " UNION ALL ".join(
+            f"SELECT '{f}' AS field, l_partkey % {i + 2} <> 0 AS g, l_suppkey % {i + 3} <> 0 AS p, l_linenumber <> {i % 7 + 1} AS same FROM lineitem"
+            for i, f in enumerate(("owed_by", "owed_to", "amount", "currency", "due_date", "offset_days", "anchor_event", "status"))
+        )
+        + ") GROUP BY field"
+    ),
+    "m08_predictions": with_overlay(
+        "SELECT o.id, o.agreement_id, o.type, c.ref_id, c.char_start, c.char_end, (SELECT min(name) FROM seen_party p WHERE p.agreement_id = o.agreement_id AND p.party_id = o.owed_by) AS owed_by, "
+        "(SELECT min(name) FROM seen_party p WHERE p.agreement_id = o.agreement_id AND p.party_id = o.owed_to) AS owed_to, o.cents, o.due_date, o.offset_days, o.anchor_agreement AS anchor_event, o.status "
+        "FROM seen_obligation o JOIN own_ref c ON c.obligation_id = o.id QUALIFY row_number() OVER (PARTITION BY o.id ORDER BY c.ref_id) = 1",
+        VIEWS,
+    ),
+    "m16_paired_runs": with_overlay(
+        "SELECT run_id AS change_order, CASE WHEN run_id % 7 = 0 THEN 'stale_change_run' WHEN run_id % 5 = 0 OR run_id % 11 = 0 OR run_id % 13 = 0 THEN 'unmatched_pair' END AS fault, "
+        "CASE WHEN run_id % 7 <> 0 AND run_id % 5 <> 0 AND run_id % 11 <> 0 AND run_id % 13 <> 0 THEN run_id * 2 END AS ungated, CASE WHEN run_id % 7 <> 0 AND run_id % 5 <> 0 AND run_id % 11 <> 0 AND run_id % 13 <> 0 THEN run_id * 2 + 1 END AS gated FROM change_run"
+    ),
+    "e03_attempts": with_overlay(
+        "SELECT id, at_ AS \"at\", CASE WHEN l_linenumber > 1 AND at_ > 0 THEN 'm' || (at_ + 1) ELSE 'main' END AS model, CAST(l_quantity AS BIGINT) AS input, CASE WHEN l_linenumber > 1 THEN at_ + 1 ELSE 0 END + l_linenumber AS output, at_ < greatest(l_linenumber - 1, 1) - 1 AS refused "
+        "FROM (SELECT *, unnest(range(0, greatest(l_linenumber - 1, 1))) AS at_ FROM line)"
+    ),
+    "w10_site_pins": with_overlay("SELECT CASE WHEN id % 5 <> 0 THEN 'site_pin_invalid' END AS fault, count(*) AS pins FROM line GROUP BY 1"),
 }

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from groundline.functions import numbers
+from groundline.functions import numbers, stats
 from groundline.functions import text as T
-from groundline.operators import binding, change, findings, ingest, metrics, proposals, read, rules, snapshot, timing, views
+from groundline.operators import binding, change, evaluation, findings, ingest, metrics, proposals, read, records, rules, snapshot, timing, views
 from groundline.plans import change_sql, fixtures, read_sql, text_sql, views_sql
 from groundline.operators.lookup import holding
 from groundline.plans.overlay import Graph
@@ -245,7 +245,50 @@ def _field_pairs(g: Graph) -> DataFrame:
 
 def _bounds(g: Graph) -> DataFrame:
     rows = g.line.groupBy(F.col("l_suppkey").alias("supplier")).agg(F.count_if((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 7)).alias("misses"), F.count(F.lit(1)).alias("n"))
-    return rows.select("supplier", "misses", "n", F.round(metrics.miss_bound(F.col("misses"), F.col("n")), 6).alias("bound"))
+    return rows.select("supplier", "misses", "n", F.round(stats.miss_bound(F.col("misses"), F.col("n")), 6).alias("bound"))
+
+
+def _timing_labels(g: Graph) -> DataFrame:
+    """Reference labels laid over the clauses of obligations that have a timing or none: each shifted by a few code points."""
+    rows = g.clause_ref.where("ref_id = obligation_id AND ref_id % 3 = 0").join(g.timing.select(F.col("obligation_id").alias("_t"), "kind", "relation", "bound_date"), F.col("obligation_id") == F.col("_t"), "left")
+    return rows.select(F.col("ref_id").alias("label"), "agreement_id", (F.col("char_start") + 3).alias("char_start"), (F.col("char_end") + 3).alias("char_end"), F.coalesce("kind", F.lit("untimed")).alias("kind"), "relation", "bound_date")
+
+
+def _messages(g: Graph) -> DataFrame:
+    def usage(n):
+        return F.struct(F.col("l_quantity").cast("long").alias("input"), (n + F.col("l_linenumber")).alias("output"))
+
+    step = lambda i: F.struct(F.when(i != 1, F.concat(F.lit("m"), i.cast("string"))).alias("model"), usage(i).alias("usage"))
+    return g.line.select("id", F.lit("main").alias("model"), usage(F.lit(0).cast("long")).alias("usage"), F.when(F.col("l_linenumber") > 1, F.transform(F.expr("sequence(1L, l_linenumber - 1L)"), step)).alias("iterations"))
+
+
+def _pinned(g: Graph) -> DataFrame:
+    book = fixtures.Contracts(g)
+    form = F.col("id") % 5
+    quote = F.when(form == 1, "Acme Group, of Utah").otherwise(F.col("p.P13"))
+    pins = book.lines.select(
+        "doc_id", F.when(form == 2, "p9999").otherwise(F.col("segment")).alias("segment"), quote.alias("quote"), F.when(form == 3, "Beta").otherwise("Acme Group").alias("name"), F.when(form == 4, None).otherwise("Utah").alias("location"), "id"
+    )
+    return records.site_pins(pins.drop("id"), book.book).groupBy("fault").agg(F.count(F.lit(1)).alias("pins"))
+
+
+def _paired(g: Graph) -> DataFrame:
+    run = g.change_run.select(F.col("run_id").alias("change_order"), (F.col("run_id") * 2).alias("run"), F.lit("ungated").alias("mode"), F.col("run_id").alias("pair"), F.lit(None).cast("long").alias("baseline"), (F.col("run_id") % 7 != 0).alias("fresh"))
+    k = F.col("run_id")
+    gated = g.change_run.where("run_id % 5 <> 0").select(k.alias("change_order"), (k * 2 + 1).alias("run"), F.lit("gated").alias("mode"), (k + F.when(k % 11 == 0, 1).otherwise(0)).alias("pair"), (k * 2 + F.when(k % 13 == 0, 2).otherwise(0)).alias("baseline"), (k % 7 != 0).alias("fresh"))
+    return evaluation.paired_runs(run.unionByName(gated))
+
+
+def _eight_fields(g: Graph) -> DataFrame:
+    x = g.line
+    pairs = x.select(
+        *(F.when(F.col("l_partkey") % (i + 2) != 0, F.col(c).cast("string")).alias(f"gold_{f}") for i, (f, c) in enumerate(_FIELD_COLUMNS)),
+        *(F.when(F.col("l_suppkey") % (i + 3) != 0, F.when(F.col("l_linenumber") == i % 7 + 1, F.lit("x")).otherwise(F.concat(F.lit("  "), F.lower(F.col(c).cast("string"))))).alias(f"pred_{f}") for i, (f, c) in enumerate(_FIELD_COLUMNS)),
+    )
+    return evaluation.field_scores(pairs, numeric=())
+
+
+_FIELD_COLUMNS = tuple(zip(evaluation.FIELDS, ("l_returnflag", "l_linestatus", "l_linenumber", "l_tax", "l_shipdate", "l_quantity", "l_returnflag", "l_linestatus")))
 
 
 def _mentions(g: Graph) -> DataFrame:
@@ -364,6 +407,14 @@ CHANGE = {
     "m10_multiset_matches": _graph(lambda g: metrics.multiset_matches(g.line.where("l_linestatus = 'O'").select("id", "l_suppkey", "l_returnflag"), g.line.where("l_linestatus = 'F'").select("id", "l_suppkey", "l_returnflag"), ["l_suppkey", "l_returnflag"])),
     "m13_gate_metrics": _graph(lambda g: metrics.gate_metrics(change.cascade(change.gate_decisions(g)), _reference(g))),
     "m14_miss_bound": _graph(_bounds),
+    "m06_eight_fields": _graph(_eight_fields),
+    "m07_sampled": _graph(lambda g: evaluation.sampled(metrics.label_scores(g))),
+    "m08_predictions": _graph(evaluation.predictions),
+    "m09_timing_scores": _graph(lambda g: evaluation.timing_scores(_timing_labels(g), evaluation.timing_predictions(g))),
+    "m16_paired_runs": _graph(_paired),
+    "e03_attempts": _graph(lambda g: records.attempts(_messages(g))),
+    "w10_site_pins": _graph(_pinned),
+    "x01_records": _graph(lambda g: records.obligation_records(g, read.obligations(g, type_="t2", include_superseded=True))),
     "m19_spread": _graph(lambda g: metrics.spread(g.line, "l_returnflag", "l_quantity")),
     "b02_admitted": _graph(_budget),
     "w05_party_dictionary": _graph(lambda g: snapshot.party_dictionary(g.party).agg(F.count(F.lit(1)).alias("names"), F.count_distinct("party_id").alias("ids"))),
@@ -387,4 +438,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {**views_sql.ORACLES, **read_sql.ORACLES, **text_sql.ORACLES, **change_sql.ORACLES, **fixtures.ORACLES}
+    sampled = f"SELECT * REPLACE (CAST(NULL AS DOUBLE) AS precision, CAST(NULL AS DOUBLE) AS f1), precision AS precision_lower_bound FROM ({change_sql.ORACLES['m05_label_scores']})"
+    return {"m07_sampled": sampled, **views_sql.ORACLES, **read_sql.ORACLES, **text_sql.ORACLES, **change_sql.ORACLES, **fixtures.ORACLES}

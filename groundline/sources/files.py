@@ -64,7 +64,18 @@ def filing_date(index: F.Column) -> F.Column:
 
 
 def markdown_table(rows: DataFrame, most: int = 200) -> str:
-    """A bounded result as a table in Markdown, in the order of its columns."""
-    found = [tuple(r) for r in rows.orderBy(*rows.columns).limit(most).collect()]
+    """A result of at most `most` rows as a table in Markdown, in the order of its columns; a larger one is an error."""
+    found = [tuple(r) for r in rows.orderBy(*rows.columns).limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows")
     lines = ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
     return "\n".join(lines + ["| " + " | ".join("-" if v is None else str(v) for v in r) + " |" for r in found]) + "\n"
+
+
+def drifted(path: str, table: str, start: str = "<!-- tables:start -->", end: str = "<!-- tables:end -->") -> bool:
+    """Whether the part of a local report between the marks is other than `table`."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if text.count(start) != 1 or text.count(end) != 1:
+        raise ValueError("the report's marks are missing or repeated")
+    return text.split(start)[1].split(end)[0].strip() != table.strip()

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from groundline.api import Api, NotFound
 from groundline.sources import files
 from groundline.streaming.proposals import verify_arrivals
@@ -35,6 +37,10 @@ def test_recorded_answers_and_log(spark, tmp_path):
         files.append_log(spark.createDataFrame([(n,)], "n int"), str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 2
     assert files.markdown_table(spark.createDataFrame([(2, None), (1, "a")], "n int, s string")) == "| n | s |\n|---|---|\n| 1 | a |\n| 2 | - |\n"
+    with pytest.raises(ValueError):
+        files.markdown_table(spark.range(5), 4)
+    (tmp_path / "report.md").write_text("a\n<!-- tables:start -->\n| x |\n<!-- tables:end -->\nb")
+    assert not files.drifted(str(tmp_path / "report.md"), "| x |\n") and files.drifted(str(tmp_path / "report.md"), "| y |")
 
 
 def test_stream_takes_each_file_once(spark, tmp_path):
@@ -50,7 +56,8 @@ def test_stream_takes_each_file_once(spark, tmp_path):
 def test_api(spark):
     api = Api(spark, "/root/testdata/sf0.001")
     page = api.get_obligations(limit=5, party="landlord")
-    assert len(page["items"]) == page["returned"] == 5 and page["truncated"] and all(i["n_clauses"] >= 1 for i in page["items"])
+    assert len(page["items"]) == page["returned"] == 5 and page["truncated"] and all(len(i["clauses"]) >= 1 and i["owed_to_binding"]["role"] == "landlord" for i in page["items"])
+    assert [(i["effective_due"] is None, str(i["effective_due"]), i["agreement_id"], i["id"]) for i in page["items"]] == sorted((i["effective_due"] is None, str(i["effective_due"]), i["agreement_id"], i["id"]) for i in page["items"])
     due = api.upcoming_deadlines("1997-01-01")
     assert due["pending"] == due["contingent"] + due["unresolved"] + due["untimed"]
     try:
