@@ -136,7 +136,7 @@ class Contracts:
     """Agreements as documents: one segment for each line, in two sections, and findings proposed about them."""
 
     def __init__(self, g: Graph):
-        self.g, self.spark, self.sf_dir = g, g.spark, g.sf_dir
+        self.g, self.spark, self.sf_dir, self.buckets = g, g.spark, g.sf_dir, g.buckets
 
     @stored("doc_id")
     def lines(self) -> DataFrame:

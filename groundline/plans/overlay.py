@@ -20,17 +20,20 @@ from pyspark.sql import functions as F
 
 from groundline.session import bucketed
 
+LINES_PER_BUCKET = 1_000_000
+MOST_BUCKETS = 20_000
 _written: dict[tuple[str, str, str], DataFrame] = {}
+_buckets: dict[tuple[str, str], int] = {}
 
 
 def stored(key: str) -> Callable[[Callable], cached_property]:
-    """A relation that is computed and written at its first use in a session; `owner` has spark and sf_dir."""
+    """A relation that is computed and written at its first use in a session; `owner` has spark, sf_dir and buckets."""
 
     def wrap(build: Callable) -> cached_property:
         def get(owner) -> DataFrame:
             at = (owner.spark.sparkContext.applicationId, owner.sf_dir, build.__qualname__)
             if at not in _written:
-                _written[at] = bucketed(build(owner), build.__name__, key)
+                _written[at] = bucketed(build(owner), build.__name__, key, owner.buckets)
             return _written[at]
 
         get.__doc__ = build.__doc__
@@ -47,6 +50,16 @@ class Graph:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def buckets(self) -> int:
+        """How many buckets all relations have: by the number of lines, which the files' footers tell, and a core's worth at least."""
+        at = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if at not in _buckets:
+            wanted = -(-self.table("lineitem").count() // LINES_PER_BUCKET)
+            most = max(MOST_BUCKETS, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+            _buckets[at] = max(self.spark.sparkContext.defaultParallelism, min(wanted, most))
+        return _buckets[at]
+
     @stored("agreement_id")
     def agreement(self) -> DataFrame:
         by_customer = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")

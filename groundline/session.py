@@ -43,10 +43,9 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """Write `df` to the shared folder, bucketed and sorted by `key`, and read it back: joins and groups by the key need no shuffle."""
     spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).format("parquet")
     writer.option("path", f"{shared_folder(spark)}/groundline/{table}").saveAsTable(table)
     return spark.table(table)
