@@ -87,8 +87,14 @@ def text_or_empty(column: str = "text") -> F.Column:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of queries that are over and no longer referred to."""
+    """Let Spark delete the shuffle files of queries that are over and no longer referred to.
+
+    The first collection frees what refers to them, the second finds them free.
+    """
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for pause in (1.0, 0.5):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
