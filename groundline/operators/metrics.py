@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundline.functions.batches import tuples
 from groundline.operators.change import total_or_null
 from groundline.plans.overlay import Graph
 
+MATCHED = pa.schema([("doc", pa.int64()), ("type", pa.string()), ("gold", pa.int64()), ("pred", pa.int64()), ("iou", pa.float64())])
+
 
 def candidate_edges(g: Graph, tenths: int = 3) -> DataFrame:
     """Pairs of a base's clause and an amendment's of equal type with intersection over union of at least tenths/10, exactly."""
@@ -30,10 +34,12 @@ def matched(edges: DataFrame) -> DataFrame:
     document's clauses of one type.
     """
 
-    def kernel(group: pd.DataFrame) -> pd.DataFrame:
-        gold, pred = sorted(group["gold"].unique()), sorted(group["pred"].unique())
-        scale = math.lcm(*(int(u) for u in group["union"].unique()))
-        worth = {(r.gold, r.pred): int(r.inter) * (scale // int(r.union)) for r in group.itertuples()}
+    def best(edges: list[tuple[int, int, int, int]]) -> list[tuple[int, int, float]]:
+        scale = math.lcm(*{u for *_, u in edges})
+        worth = {(a, b): i * (scale // u) for a, b, i, u in edges}
+        if len(worth) == 1:
+            return [(*k, w / scale) for k, w in worth.items()]
+        gold, pred = sorted({a for a, _ in worth}), sorted({b for _, b in worth})
         # a tie is broken by the sum of ranks, scaled below any difference in overlap
         ranks = {(a, b): i for i, (a, b) in enumerate(sorted(worth))}
         small = len(ranks) * (len(ranks) + 1)
@@ -64,10 +70,17 @@ def matched(edges: DataFrame) -> DataFrame:
                 if step is None:
                     break
                 b = step
-        out = [(group["doc"].iloc[0], group["type"].iloc[0], a, b, worth[a, b] / scale) for a, b in sorted(of_gold.items())]
-        return pd.DataFrame(out, columns=["doc", "type", "gold", "pred", "iou"])
+        return [(a, b, worth[a, b] / scale) for a, b in sorted(of_gold.items())]
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, type_, edges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), tuples(batch.column(2))):
+                out += [(doc, type_, *found) for found in best(edges)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * len(MATCHED), MATCHED.types)], schema=MATCHED)
 
-    return edges.groupBy("doc", "type").applyInPandas(kernel, "doc long, type string, gold long, pred long, iou double")
+    groups = edges.groupBy("doc", "type").agg(F.collect_list(F.struct("gold", "pred", "inter", "union")).alias("edges"))
+    return groups.mapInArrow(kernel, "doc long, type string, gold long, pred long, iou double")
 
 
 def scores(tp: Column, n_pred: Column, n_gold: Column) -> list[Column]:
