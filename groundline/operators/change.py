@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundline.functions import text as T
-from groundline.plans.overlay import Graph
+from groundline.plans.overlay import Graph, dealt
 
 CATEGORIES = ("price", "dates", "term", "space", "parties", "other")
 # fixed values: words that turn a gate on; a star stands for any ending
@@ -26,7 +26,7 @@ def current_extraction(runs: DataFrame) -> DataFrame:
 def base_first(agreements: DataFrame) -> DataFrame:
     """Each agreement's depth below its base; bases first, then by filing. A base has none itself, so two levels are all."""
     base = agreements.select(F.col("agreement_id").alias("_b"), F.col("base_agreement_id").alias("_bb"))
-    rows = agreements.join(base, F.col("base_agreement_id") == F.col("_b"), "left")
+    rows = agreements.join(base, dealt("base_agreement_id", "agreement_id", "_b"), "left")
     return rows.select("agreement_id", F.when(F.col("base_agreement_id").isNull(), 0).when(F.col("_bb").isNull(), 1).otherwise(2).cast("long").alias("depth"))
 
 

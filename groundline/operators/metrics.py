@@ -18,7 +18,8 @@ MATCHED = pa.schema([("doc", pa.int64()), ("type", pa.string()), ("gold", pa.int
 
 def candidate_edges(g: Graph, tenths: int = 3) -> DataFrame:
     """Pairs of a base's clause and an amendment's of equal type with intersection over union of at least tenths/10, exactly."""
-    rows = g.clause_ref.where("ref_id = obligation_id").join(g.obligation.select(F.col("id").alias("_o"), "type", "base_agreement_id"), F.col("obligation_id") == F.col("_o"))
+    owner = g.obligation.select(F.col("id").alias("_o"), F.col("agreement_id").alias("_oa"), "type", "base_agreement_id")
+    rows = g.clause_ref.where("ref_id = obligation_id").join(owner, (F.col("agreement_id") == F.col("_oa")) & (F.col("obligation_id") == F.col("_o")))
     gold = rows.where("base_agreement_id IS NULL").select(F.col("agreement_id").alias("doc"), "type", F.col("ref_id").alias("gold"), F.col("char_start").alias("s"), F.col("char_end").alias("e"))
     pred = rows.where("base_agreement_id IS NOT NULL").select(F.col("base_agreement_id").alias("_d"), F.col("type").alias("_t"), F.col("ref_id").alias("pred"), "char_start", "char_end")
     met = gold.join(pred, (F.col("doc") == F.col("_d")) & (F.col("type") == F.col("_t")) & (F.col("s") < F.col("char_end")) & (F.col("char_start") < F.col("e")))

@@ -250,7 +250,7 @@ def _bounds(g: Graph) -> DataFrame:
 
 def _timing_labels(g: Graph) -> DataFrame:
     """Reference labels laid over the clauses of obligations that have a timing or none: each shifted by a few code points."""
-    rows = g.clause_ref.where("ref_id = obligation_id AND ref_id % 3 = 0").join(g.timing.select(F.col("obligation_id").alias("_t"), "kind", "relation", "bound_date"), F.col("obligation_id") == F.col("_t"), "left")
+    rows = g.clause_ref.where("ref_id = obligation_id AND ref_id % 3 = 0").join(g.timing.select(F.col("obligation_id").alias("_t"), F.col("timed_in").alias("_in"), "kind", "relation", "bound_date"), (F.col("agreement_id") == F.col("_in")) & (F.col("obligation_id") == F.col("_t")), "left")
     return rows.select(F.col("ref_id").alias("label"), "agreement_id", (F.col("char_start") + 3).alias("char_start"), (F.col("char_end") + 3).alias("char_end"), F.coalesce("kind", F.lit("untimed")).alias("kind"), "relation", "bound_date")
 
 

@@ -4,6 +4,7 @@ import pytest
 
 from groundline.functions import text as T
 from groundline.operators import findings, metrics, proposals
+from groundline.plans import registry
 from pyspark.sql import functions as F
 from test_findings import book
 
@@ -46,3 +47,10 @@ def test_occurrences_of_texts_with_marks_of_their_own(spark):
     df = spark.createDataFrame([("\ue000a\U0001f600 ab a",), ("none",), ("",), (None,)], "t string")
     found = [r[0] if r[0] is None else [tuple(o) for o in r[0]] for r in df.select(T.occurrences(F.col("t"), r"\ba\b|ab")).collect()]
     assert found == [[(1, "a"), (4, "ab"), (7, "a")], [], [], None]
+
+
+@pytest.mark.parametrize(("name", "most"), [("d05_visible_obligation", 12), ("d07_visible_guarantees", 0), ("d04_visible_timing", 2)])
+def test_obligations_stay_in_their_buckets(unbroadcast, name, most):
+    found = plan(registry.queries()[name](unbroadcast, "/root/testdata/sf0.001"))
+    assert found.count("Exchange hashpartitioning") <= most
+    assert "Exchange hashpartitioning(id" not in found
